@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from markloom import constants as K
+from markloom.operators.ordering import joined_distinct, row_numbers
+
+# header positions numbered by one task
+HEADER_PIECE = 1_000
 
 
 def _lookup(mapping: dict[str, str], key: Column) -> Column:
@@ -46,8 +49,7 @@ def _role_in(header: Column) -> Column:
 def number_headers(df: DataFrame, header: str, position: str) -> DataFrame:
     """Older spelling: questions are numbered by position inside (code, tag, role).
 
-    ``df`` is a header table, a row per column of one export, so its size is bounded
-    by the width of the export. Other headers keep their name.
+    ``df`` is a header table, a row per column of an export. Other headers keep their name.
     """
     h = F.col(header)
     first = F.get(F.split(h, r"\s+"), F.lit(0))
@@ -69,8 +71,8 @@ def number_headers(df: DataFrame, header: str, position: str) -> DataFrame:
         F.when(kind == "anaesthesia", F.coalesce(F.nullif(found, F.lit("")), F.lit("Unknown")))
         .otherwise(setting)
     )
-    w = W.partitionBy("_base", "_tag", "_role").orderBy(position)
-    out = df.withColumns({"_base": base, "_tag": tag, "_role": role}).withColumn("_n", F.row_number().over(w))
+    out = row_numbers(df.withColumns({"_base": base, "_tag": tag, "_role": role}), ["_base", "_tag", "_role"],
+                      [position], F.floor(F.col(position) / HEADER_PIECE), "_n")
     name = F.when(F.col("_base").isNull(), h).otherwise(
         F.concat(F.col("_base"), F.lit("_MC"), F.col("_n"), F.lit("_"), F.col("_role"),
                  F.coalesce(F.concat(F.lit(" ("), F.col("_tag"), F.lit(")")), F.lit("")))
@@ -87,8 +89,8 @@ def number_other_headers(df: DataFrame, header: str, position: str) -> DataFrame
     scale = F.lit(None).cast("string")
     for title, abbreviation in reversed(list(K.RUBRIC_SCALE_NAMES.items())):
         scale = F.when(h.contains(title), abbreviation).otherwise(scale)
-    w = W.partitionBy("_short", "_role").orderBy(position)
-    out = df.withColumns({"_short": short, "_role": _role_in(h)}).withColumn("_n", F.row_number().over(w))
+    out = row_numbers(df.withColumns({"_short": short, "_role": _role_in(h)}), ["_short", "_role"],
+                      [position], F.floor(F.col(position) / HEADER_PIECE), "_n")
     name = F.when(
         F.col("_short").isNotNull(),
         F.concat(F.col("_short"), F.lit("_MC"), F.col("_n"), F.lit("_"), F.col("_role")),
@@ -98,8 +100,6 @@ def number_other_headers(df: DataFrame, header: str, position: str) -> DataFrame
 
 def collisions(df: DataFrame, old: str, new: str) -> DataFrame:
     """New names that more than one old header would take."""
-    return (
-        df.select(old, new).distinct().groupBy(new)
-        .agg(F.count("*").alias("n_headers"), F.array_join(F.array_sort(F.collect_set(old)), " | ").alias("headers"))
-        .filter("n_headers > 1")
-    )
+    once = df.select(old, new).distinct()
+    many = once.groupBy(new).agg(F.count("*").alias("n_headers")).filter("n_headers > 1")
+    return many.join(joined_distinct(once, [new], old, " | ", "headers"), new)
