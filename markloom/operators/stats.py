@@ -7,9 +7,10 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import DoubleType
+
 from markloom.operators.ordering import running_sum
 
 
@@ -108,22 +109,22 @@ def studentized_range_tail(q: float, k: int, df: float) -> float:
     return max(0.0, 1.0 - float(np.sum((hi - lo) / 2.0 * _GL_W * dens * inner)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_p_value(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([f_tail(a, b, c) if a == a and c > 0 else None for a, b, c in zip(f, d1, d2)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_tail(a, b) if a == a and b > 0 else None for a, b in zip(t, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p_value(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([chi2_tail(a, b) if a == a and b > 0 else None for a, b in zip(x, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def range_p_value(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([studentized_range_tail(a, int(b), c) for a, b, c in zip(q, k, df)], dtype="float64")
 

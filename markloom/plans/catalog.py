@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from markloom.plans import cleaning, scores  # noqa: F401
+from markloom.plans import aggregates, cleaning, joins, scores, windows  # noqa: F401
 from markloom.plans.base import ORACLES, QUERIES  # noqa: F401
