@@ -168,10 +168,9 @@ def kruskal(df: DataFrame, group: str, value: str, piece: Column) -> DataFrame:
     )
     top = per_group.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("q"))
     nd = F.col("n").cast("double")
-    ties = ranks.agg(F.sum(F.pow(F.col("n").cast("double"), F.lit(3.0)) - F.col("n")).alias("t"))
-    both = top.join(ties)  # one row on either side
+    ties = ranks.agg(F.sum(F.pow(F.col("n").cast("double"), F.lit(3.0)) - F.col("n")).alias("t")).scalar()
     h = F.lit(12.0) / (nd * (nd + 1)) * F.col("q") - F.lit(3.0) * (nd + 1)
-    return both.select("k", "n", F.try_divide(h, F.lit(1.0) - F.col("t") / (nd * nd * nd - nd)).alias("h"))
+    return top.select("k", "n", F.try_divide(h, F.lit(1.0) - ties / (nd * nd * nd - nd)).alias("h"))
 
 
 def safe_corr(x: Column, y: Column) -> Column:
@@ -191,17 +190,17 @@ def tukey_pairs(df: DataFrame, group: str, value: str) -> DataFrame:
     The pairs come from the table of group statistics, a row per group.
     """
     g = group_moments(df, [group], value).withColumn("m", F.col("s") / F.col("n"))
-    total = one_way_anova(df, group, value).select(
-        F.col("k"), (F.col("n") - F.col("k")).alias("dof"),
-        (F.col("ss_within") / (F.col("n") - F.col("k"))).alias("ms"),
-    )
+    overall = one_way_anova(df, group, value).select(
+        F.struct("k", (F.col("n") - F.col("k")).alias("dof"), (F.col("ss_within") / (F.col("n") - F.col("k"))).alias("ms"))
+    ).scalar()
     keyed = g.withColumn("_one", F.lit(1))
     a = keyed.select("_one", F.col(group).alias("group1"), F.col("m").alias("m1"), F.col("n").alias("n1"))
     b = keyed.select("_one", F.col(group).alias("group2"), F.col("m").alias("m2"), F.col("n").alias("n2"))
-    pairs = a.join(b, "_one").filter("group1 < group2").drop("_one").join(total)
+    pairs = a.join(b, "_one").filter("group1 < group2").withColumn("_t", overall)
     diff = F.col("m2") - F.col("m1")
-    se = F.sqrt(F.col("ms") / F.lit(2.0) * (F.lit(1.0) / F.col("n1") + F.lit(1.0) / F.col("n2")))
-    return pairs.select("group1", "group2", diff.alias("meandiff"), F.abs(diff / se).alias("q"), "k", "dof", se.alias("se"))
+    se = F.sqrt(F.col("_t.ms") / F.lit(2.0) * (F.lit(1.0) / F.col("n1") + F.lit(1.0) / F.col("n2")))
+    return pairs.select("group1", "group2", diff.alias("meandiff"), F.abs(diff / se).alias("q"),
+                        F.col("_t.k").alias("k"), F.col("_t.dof").alias("dof"), se.alias("se"))
 
 
 def t_test(df: DataFrame, group: Column, value: str) -> DataFrame:

@@ -142,8 +142,8 @@ SELECT trim(x) AS choice, count(*) AS n FROM (SELECT unnest(string_split(role, '
 """)
 def a16(t: Tables):
     two = t.forms.select("role", F.concat(lit("Operator,"), "clinic").alias("other"))
-    each = two.unpivot([], ["role", "other"], "source", "value").select(F.trim(F.explode(F.split("value", ","))).alias("choice"))
-    return each.groupBy("choice").agg(F.count("*").alias("n"))
+    each = two.unpivot([], ["role", "other"], "source", "value").select(F.explode(F.split("value", ",")).alias("choice"))
+    return each.groupBy(F.trim("choice").alias("choice")).agg(F.count("*").alias("n"))
 
 
 @query("A17_merged_score_maps", """
