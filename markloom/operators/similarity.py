@@ -41,10 +41,21 @@ def pair_summary(df: DataFrame, block: str, vector: str, mark: str) -> DataFrame
     per_mark = dims.groupBy(block, "m", "d").agg(F.sum("x").alias("x"))
     whole = per_mark.groupBy(block, "d").agg(F.sum("x").alias("x")).groupBy(block).agg(F.sum(F.expr("x*x")).alias("uu"))
 
-    outer = unit.select(block, F.posexplode("u").alias("d", "x"), "u").select(
-        block, "d", F.posexplode("u").alias("e", "y"), "x"
-    ).filter("e >= d")
-    gram = outer.groupBy(block, "d", "e").agg(F.sum(F.expr("x*y")).alias("g"))
+    size = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+    def outer_sums(batches):
+        """Sums of outer products of the rows at hand: a few thousand numbers per block and batch."""
+        for pdf in batches:
+            parts = []
+            for value, rows in pdf.groupby(block)["u"]:
+                x = np.stack(rows.to_numpy())
+                d, e = np.triu_indices(x.shape[1])
+                parts.append(pd.DataFrame({block: value, "d": d, "e": e, "g": (x.T @ x)[d, e]}))
+            if parts:
+                yield pd.concat(parts)
+
+    partial = unit.select(block, "u").mapInPandas(outer_sums, f"{block} {size[block]}, d int, e int, g double")
+    gram = partial.groupBy(block, "d", "e").agg(F.sum("g").alias("g"))
     gg = gram.groupBy(block).agg(F.sum(F.when(F.col("d") == F.col("e"), F.col("g") * F.col("g")).otherwise(
         F.lit(2.0) * F.col("g") * F.col("g"))).alias("gg"))
 
@@ -75,19 +86,23 @@ def pair_summary(df: DataFrame, block: str, vector: str, mark: str) -> DataFrame
     )
 
 
-def nearest(df: DataFrame, block: str, key: str, vector: str, k: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+def nearest(df: DataFrame, block: str, key: str, vector: str, k: int, tile_rows: int = TILE_ROWS,
+            tone: str | None = None, tone_weight: float = 0.0) -> DataFrame:
     """The ``k`` most similar rows of the same block for every row, exact.
 
     A block is cut into tiles by a hash of the key, as many as its row count asks for. Each
     task compares two tiles and gives at most ``k`` neighbours per row; the best ``k`` over
     the tiles remain. A hot block becomes many tile pairs, and no pair list is ever written.
+    With ``tone`` the similarity of two rows of positive tone grows by ``tone_weight`` times
+    the distance of their tones, and is kept within [0, 1].
     """
-    unit = df.select(block, key, unit_vector(F.col(vector)).alias("u")).filter("u is not null")
+    p = (F.lit(0.0) if tone is None else F.coalesce(F.col(tone).cast("double"), F.lit(0.0))).alias("p")
+    unit = df.select(block, key, unit_vector(F.col(vector)).alias("u"), p).filter("u is not null")
     sizes = unit.groupBy(block).agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("_tiles"))
     tiled = unit.join(sizes, block).withColumn("_t", F.pmod(F.xxhash64(key), F.col("_tiles")).cast("int"))
     spread = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
-    queries = tiled.select(block, F.col("_t").alias("_q"), spread.alias("_c"), key, "u", F.lit(True).alias("_is_query"))
-    base = tiled.select(block, spread.alias("_q"), F.col("_t").alias("_c"), key, "u", F.lit(False).alias("_is_query"))
+    queries = tiled.select(block, F.col("_t").alias("_q"), spread.alias("_c"), key, "u", "p", F.lit(True).alias("_is_query"))
+    base = tiled.select(block, spread.alias("_q"), F.col("_t").alias("_c"), key, "u", "p", F.lit(False).alias("_is_query"))
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -96,6 +111,9 @@ def nearest(df: DataFrame, block: str, key: str, vector: str, k: int, tile_rows:
         if len(q) and len(b):
             sims = np.stack(q["u"].to_numpy()) @ np.stack(b["u"].to_numpy()).T
             keys_b = b[key].to_numpy()
+            if tone is not None:
+                pq, pb = q["p"].to_numpy()[:, None], b["p"].to_numpy()[None, :]
+                sims = np.clip(sims + np.where((pq > 0) & (pb > 0), tone_weight * np.abs(pq - pb), 0.0), 0.0, 1.0)
             for i, own in enumerate(q[key].to_numpy()):
                 sim = np.where(keys_b == own, -np.inf, sims[i])
                 order = np.lexsort((keys_b, -sim))[:k]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import DoubleType
 
+from markloom.operators.joins import pairs_within
 from markloom.operators.ordering import running_sum
 
 
@@ -193,10 +194,11 @@ def tukey_pairs(df: DataFrame, group: str, value: str) -> DataFrame:
     overall = one_way_anova(df, group, value).select(
         F.struct("k", (F.col("n") - F.col("k")).alias("dof"), (F.col("ss_within") / (F.col("n") - F.col("k"))).alias("ms"))
     ).scalar()
-    keyed = g.withColumn("_one", F.lit(1))
-    a = keyed.select("_one", F.col(group).alias("group1"), F.col("m").alias("m1"), F.col("n").alias("n1"))
-    b = keyed.select("_one", F.col(group).alias("group2"), F.col("m").alias("m2"), F.col("n").alias("n2"))
-    pairs = a.join(b, "_one").filter("group1 < group2").withColumn("_t", overall)
+    a = g.select(F.col(group).alias("group1"), F.col("m").alias("m1"), F.col("n").alias("n1"))
+    b = g.select(F.col(group).alias("group2"), F.col("m").alias("m2"), F.col("n").alias("n2"))
+    named = pairs_within(g.withColumn("_one", F.lit(1)), "_one", group)
+    pairs = named.select(F.col("a").alias("group1"), F.col("b").alias("group2")).join(a, "group1").join(b, "group2")
+    pairs = pairs.withColumn("_t", overall)
     diff = F.col("m2") - F.col("m1")
     se = F.sqrt(F.col("_t.ms") / F.lit(2.0) * (F.lit(1.0) / F.col("n1") + F.lit(1.0) / F.col("n2")))
     return pairs.select("group1", "group2", diff.alias("meandiff"), F.abs(diff / se).alias("q"),

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from markloom.plans import aggregates, cleaning, joins, reports, scores, sources, windows  # noqa: F401
+from markloom.plans import aggregates, cleaning, joins, reports, scores, sources, statistics, windows  # noqa: F401
 from markloom.plans.base import ORACLES, QUERIES  # noqa: F401
