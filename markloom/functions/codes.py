@@ -73,26 +73,31 @@ def base_tag(part: Column, location: Column) -> Column:
 
 
 def code_tag(code: Column, part: Column, base: Column) -> Column:
-    """The tag of one code: the first rule that fits, else the base tag."""
-    rules: list[tuple[Column, Column]] = []
+    """The tag of one code: the first rule of that code that fits, else the base tag."""
+    rules: dict[str, list[tuple[Column, Column]]] = {}
+    always, simulated = F.lit(True), base == "SIM"
+    has = lambda word: part.contains(word) if word else always
+    longer = lambda extra: F.concat(base, F.lit(" " + extra))
     for value, tag in FIXED_TAGS.items():
-        rules.append((code == value, F.lit(tag)))
+        rules.setdefault(value, []).append((always, F.lit(tag)))
     for value, word, tag in REPLACED_BY_WORD:
-        rules.append(((code == value) & part.contains(word), F.lit(tag)))
-    for word, tag in DENTURE_STAGES:
-        rules.append((code.isin(*DENTURE_CODES) & part.contains(word), F.lit(tag)))
+        rules.setdefault(value, []).append((has(word), F.lit(tag)))
+    for value in DENTURE_CODES:
+        rules.setdefault(value, []).extend((has(word), F.lit(tag)) for word, tag in DENTURE_STAGES)
     for value, word, extra in ADDED_BY_WORD:
-        rules.append(((code == value) & part.contains(word), F.concat(base, F.lit(" " + extra))))
+        rules.setdefault(value, []).append((has(word), longer(extra)))
     for value, word, extra in ADDED_IN_SIMULATION:
-        rules.append(((code == value) & (base == "SIM") & part.contains(word),
-                      F.concat(base, F.lit(" " + extra))))
+        rules.setdefault(value, []).append((simulated & has(word), longer(extra)))
     for value, tag in REPLACED_IN_SIMULATION.items():
-        rules.append(((code == value) & (base == "SIM"), F.lit(tag)))
-    condition, tag = rules[0]
-    chain = F.when(condition, tag)
-    for condition, tag in rules[1:]:
-        chain = chain.when(condition, tag)
-    return chain.otherwise(base)
+        rules.setdefault(value, []).append((simulated, F.lit(tag)))
+    chain = None
+    for value, cases in rules.items():
+        inner = F.when(*cases[0])
+        for condition, tag in cases[1:]:
+            inner = inner.when(condition, tag)
+        tag = inner.otherwise(base)
+        chain = F.when(code == value, tag) if chain is None else chain.when(code == value, tag)
+    return F.when(~code.isin(*rules), base).otherwise(chain)
 
 
 def procedure_codes(service: Column, location: Column, paeds_as_limited: bool = False) -> Column:

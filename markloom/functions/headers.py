@@ -12,34 +12,38 @@ from markloom.operators.ordering import joined_distinct, row_numbers
 HEADER_PIECE = 1_000
 
 
-def _lookup(mapping: dict[str, str], key: Column) -> Column:
-    return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]).getItem(key)
+def _replaced(value: Column, mapping: dict[str, str]) -> Column:
+    """The mapped value, else the value itself."""
+    out = value
+    for old, new in mapping.items():
+        out = F.when(value == old, new).otherwise(out)
+    return out
 
 
-def parse_header(header: Column) -> Column:
-    """``CODE TAG#role_q`` to struct(code, tag, role, label, name); null when it is no question.
+def parse_headers(df: DataFrame, header: str) -> DataFrame:
+    """Add code, tag, role, label and name to a table of headers ``CODE TAG#role_q``.
 
-    A last part ``TEXT`` is the tooth number of the checklist.
+    Headers that are no question are left out. A last part ``TEXT`` is the tooth number
+    of the checklist.
     """
-    halves = F.split(header, "#")
-    left, right = F.get(halves, F.lit(0)), F.get(halves, F.lit(1))
-    other = _lookup(K.CHECKLIST_HEADERS, left)
-    tokens = F.split(left, r"\s+")
-    raw_tag = F.nullif(F.upper(F.array_join(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), " ")), F.lit(""))
-    code = F.coalesce(other, F.get(tokens, F.lit(0)))
-    tag = F.when(other.isNull(), F.coalesce(_lookup(K.TAG_CORRECTIONS, raw_tag), raw_tag))
-    bits = F.split(right, "_")
-    number = F.get(bits, F.lit(0))
-    role = F.coalesce(_lookup(K.ROLE_NUMBERS, number), number)
-    label = F.when(F.element_at(bits, -1) == "TEXT", "Tooth Number").otherwise(
-        F.concat(F.lit("MC"), F.get(bits, F.lit(1)))
-    )
-    name = F.concat(code, F.lit("_"), label, F.lit("_"), role,
-                    F.coalesce(F.concat(F.lit(" ("), tag, F.lit(")")), F.lit("")))
-    return F.when(
-        right.isNotNull() & (F.size(bits) > 1),
-        F.struct(code.alias("code"), tag.alias("tag"), role.alias("role"), label.alias("label"), name.alias("name")),
-    )
+    h = F.col(header)
+    part = lambda pattern: F.regexp_extract(h, pattern, 1)
+    checklist = F.lit(None).cast("string")
+    for title, short in K.CHECKLIST_HEADERS.items():
+        checklist = F.when(h.startswith(f"{title}#"), short).otherwise(checklist)
+    pieces = df.filter(h.rlike("#[^_]*_")).withColumns({
+        "_checklist": checklist, "_code": part(r"^([^\s#]*)"),
+        "_tag": F.upper(F.regexp_replace(part(r"^\S+\s+([^#]*)#"), r"\s+", " ")),
+        "_role": part("#([^_]*)_"), "_q": part("#[^_]*_([^_]*)"),
+    })
+    parsed = pieces.withColumns({
+        "code": F.coalesce("_checklist", "_code"),
+        "tag": F.when(F.col("_checklist").isNull() & (F.col("_tag") != ""), _replaced(F.col("_tag"), K.TAG_CORRECTIONS)),
+        "role": _replaced(F.col("_role"), K.ROLE_NUMBERS),
+        "label": F.when(h.endswith("_TEXT"), "Tooth Number").otherwise(F.concat(F.lit("MC"), "_q")),
+    }).drop("_checklist", "_code", "_tag", "_role", "_q")
+    suffix = F.coalesce(F.concat(F.lit(" ("), "tag", F.lit(")")), F.lit(""))
+    return parsed.withColumn("name", F.concat(F.concat_ws("_", "code", "label", "role"), suffix))
 
 
 def _role_in(header: Column) -> Column:

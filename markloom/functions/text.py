@@ -35,7 +35,7 @@ def phrase_level(text: Column, levels: dict[str, int | None] | None = None) -> C
     levels = K.COMPETENCY_LEVELS if levels is None else levels
     known = {k: v for k, v in levels.items() if v is not None}
     pairs = [F.lit(x) for kv in known.items() for x in kv]
-    return F.create_map(*pairs).getItem(text)
+    return F.create_map(*pairs)[text]
 
 
 def age_band(age: Column) -> Column:
@@ -118,7 +118,7 @@ def other_if_other(choice: Column, other: Column, label: str = "Other") -> Colum
 
 def polarity(word: Column) -> Column:
     pairs = [F.lit(x) for kv in K.POLARITY_WORDS.items() for x in kv]
-    return F.create_map(*pairs).getItem(word)
+    return F.create_map(*pairs)[word]
 
 
 def words(text: Column) -> Column:

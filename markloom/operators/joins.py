@@ -69,20 +69,24 @@ def final_attempt(results: DataFrame, keys: list[str], attempt: str, result: str
     )
 
 
-def pairs_within(df: DataFrame, group: str, member: str, block: int = PAIR_BLOCK) -> DataFrame:
-    """Unordered pairs ``a < b`` of the distinct members of a group.
+def pairs_within(df: DataFrame, group: str | None, member: str, block: int = PAIR_BLOCK) -> DataFrame:
+    """Unordered pairs ``a < b`` of the distinct members of a group, or of the whole frame.
 
     The right side of a large group is cut into blocks and the left side is repeated once
     per block, so the pairs of one hot group are made by many tasks. A group smaller than
     ``block`` is not repeated.
     """
-    once = df.select(group, member).filter(F.col(member).isNotNull()).distinct()
-    sizes = once.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    sized = once.join(sizes, group)
-    left = sized.select(group, F.col(member).alias("a"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_b"))
-    right = sized.select(group, F.col(member).alias("b"),
+    keys = [group] if group else []
+    once = df.select(*keys, member).filter(F.col(member).isNotNull()).distinct()
+    blocks = F.ceil(F.count("*") / block).cast("int").alias("_blocks")
+    if group:
+        sized = once.join(once.groupBy(group).agg(blocks), group)
+    else:
+        sized = once.withColumn("_blocks", once.agg(blocks).scalar())
+    left = sized.select(*keys, F.col(member).alias("a"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_b"))
+    right = sized.select(*keys, F.col(member).alias("b"),
                          F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int").alias("_b"))
-    return left.join(right, [group, "_b"]).filter("a < b").select(group, "a", "b")
+    return left.join(right, [*keys, "_b"]).filter("a < b").select(*keys, "a", "b")
 
 
 def pair_counts(df: DataFrame, group: str, member: str, block: int = PAIR_BLOCK) -> DataFrame:

@@ -3,7 +3,8 @@
 A plain window puts a whole group into one task. Here each group is cut into
 pieces by ``piece``, an expression that never falls as the order rises (a day, an id
 divided by a constant). Rows are ordered inside a piece; what comes before a piece is
-carried in from a summary with a row per (group, piece).
+carried in from a summary with a row per (group, piece). Choose pieces of many thousand rows:
+with no group the summary, a row per piece, is ordered by one task.
 """
 
 from __future__ import annotations

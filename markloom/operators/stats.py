@@ -196,7 +196,7 @@ def tukey_pairs(df: DataFrame, group: str, value: str) -> DataFrame:
     ).scalar()
     a = g.select(F.col(group).alias("group1"), F.col("m").alias("m1"), F.col("n").alias("n1"))
     b = g.select(F.col(group).alias("group2"), F.col("m").alias("m2"), F.col("n").alias("n2"))
-    named = pairs_within(g.withColumn("_one", F.lit(1)), "_one", group)
+    named = pairs_within(g, None, group)
     pairs = named.select(F.col("a").alias("group1"), F.col("b").alias("group2")).join(a, "group1").join(b, "group2")
     pairs = pairs.withColumn("_t", overall)
     diff = F.col("m2") - F.col("m1")

@@ -48,7 +48,7 @@ def header_table(t: Tables):
 
 @query("P01_header_parser", HEADER_SQL + "SELECT header, name FROM p")
 def p01(t: Tables):
-    return header_table(t).select("header", H.parse_header(c("header"))["name"].alias("name"))
+    return H.parse_headers(header_table(t), "header").select("header", "name")
 
 
 OLD_HEADERS_SQL = """
@@ -100,7 +100,7 @@ SELECT name, count(DISTINCT header) AS n_headers, CAST(0 AS BIGINT) AS segment,
 FROM p GROUP BY name HAVING count(DISTINCT header) > 1
 """)
 def p04(t: Tables):
-    parsed = header_table(t).select("header", H.parse_header(c("header"))["name"].alias("name"))
+    parsed = H.parse_headers(header_table(t), "header").select("header", "name")
     return H.collisions(parsed, "header", "name")
 
 
@@ -356,8 +356,10 @@ def services(t: Tables):
 
 @query("X08_procedure_codes", SERVICE_SQL + "SELECT code, tag, count(*) AS n FROM tg GROUP BY ALL")
 def x08(t: Tables):
-    found = services(t).select(F.inline(C.procedure_codes(c("service"), c("place"))))
-    return found.groupBy("code", "tag").agg(F.count("*").alias("n"))
+    """Equal texts are counted first, so each different text is taken apart once."""
+    texts = services(t).groupBy("service", "place").agg(F.count("*").alias("n"))
+    found = texts.select("n", F.inline(C.procedure_codes(c("service"), c("place"))))
+    return found.groupBy("code", "tag").agg(F.sum("n").alias("n"))
 
 
 @query("X09_general_services", """

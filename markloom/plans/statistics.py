@@ -133,7 +133,7 @@ def m08(t: Tables):
     wide = t.answers.groupBy("form_id").pivot("qno", list(range(1, 8))).agg(F.avg(value))
     wide = wide.toDF("form_id", *[f"MC{i}" for i in range(1, 8)])
     totals = t.form_counts.filter("n_yes + n_no > 1").select("form_id", S.percent_yes(c("n_yes"), c("n_no")).alias("pct"))
-    return MD.forest_importance(wide.join(totals, "form_id"), [f"MC{i}" for i in range(1, 8)], "pct", trees=20)
+    return MD.forest_importance(wide.join(totals, "form_id"), "form_id", [f"MC{i}" for i in range(1, 8)], "pct", trees=20)
 
 
 @query("M09_straight_line", """
