@@ -446,7 +446,7 @@ def x16(t: Tables):
 
 @query("X17_absence_reasons", """
 SELECT ['Cancellation', 'No Booking', 'Unable to Fill', 'Assigned as Assistant', 'Other', 'Cancellation'][form_id % 6 + 1] AS reason, count(*) AS n
-FROM frm WHERE form_id % 6 < 6 GROUP BY ALL
+FROM frm GROUP BY ALL
 """)
 def x17(t: Tables):
     text = pick(c("form_id") % 6, ["Patient Cancelled", "There was no time to book", "could not FILL the chair", "was the assistant", "sick", "FTA again"])
@@ -542,9 +542,9 @@ def x43(t: Tables):
     return CL.pseudonyms(t.forms, "student_id", "form_id", F.floor(c("first_seen") / 100_000))
 
 
-@query("X45_corrections", "SELECT form_id, CASE WHEN form_id % 100 = 0 THEN 'Observer' ELSE role END AS role FROM frm")
+@query("X45_corrections", "SELECT form_id, CASE WHEN incident = 'Yes' AND es IS NULL THEN 'Observer' ELSE role END AS role FROM frm")
 def x45(t: Tables):
-    wrong = t.forms.filter(c("form_id") % 100 == 0).select(
+    wrong = t.forms.filter("incident = 'Yes' AND es IS NULL").select(
         "form_id", lit("role").alias("column"), c("role").alias("old"), lit("Observer").alias("new"))
     return CL.apply_corrections(t.forms, wrong, "form_id", "role").select("form_id", "role")
 

@@ -15,19 +15,19 @@ c, lit = F.col, F.lit
 
 @query("J01_section_mapping", """
 SELECT coalesce(section, '(unmapped)') AS section, sub, count(*) AS n
-FROM ans LEFT JOIN (SELECT * FROM itm WHERE part_id % 10 <> 0) m USING (part_id) GROUP BY ALL
+FROM ans LEFT JOIN (SELECT * FROM itm WHERE sub <> 'Brand#1') m USING (part_id) GROUP BY ALL
 """)
 def j01(t: Tables):
     """Answers are counted per item first, so a hot item is one row when it meets its section."""
     per_item = t.answers.groupBy("part_id").agg(F.count("*").alias("n"))
-    mapping = t.items.filter(c("part_id") % 10 != 0).select("part_id", "section", "sub")
+    mapping = t.items.filter("sub <> 'Brand#1'").select("part_id", "section", "sub")
     mapped = per_item.join(mapping, "part_id", "left")
     return mapped.groupBy(F.coalesce("section", lit("(unmapped)")).alias("section"), "sub").agg(F.sum("n").alias("n"))
 
 
-@query("J01_unmapped_items", "SELECT part_id, count(*) AS n_rows FROM ans WHERE part_id % 10 = 0 GROUP BY part_id")
+@query("J01_unmapped_items", "SELECT part_id, count(*) AS n_rows FROM ans JOIN itm USING (part_id) WHERE sub = 'Brand#1' GROUP BY part_id")
 def j01b(t: Tables):
-    return JN.unmapped(t.answers, t.items.filter(c("part_id") % 10 != 0), "part_id")
+    return JN.unmapped(t.answers, t.items.filter("sub <> 'Brand#1'"), "part_id")
 
 
 @query("J02_question_weight", """
@@ -81,13 +81,12 @@ def j06(t: Tables):
 
 
 @query("J07_fill_from_other_tables", """
-SELECT form_id, CASE WHEN form_id % 3 = 0 THEN 'own' WHEN form_id % 2 = 0 THEN 'second' WHEN form_id % 5 = 0 THEN 'third' END AS note FROM frm
+SELECT form_id, CASE WHEN ps = 1 THEN 'own' WHEN setting = 'Clinic' AND cs > 2 THEN 'second' WHEN incident = 'Yes' THEN 'third' END AS note FROM frm
 """)
 def j07(t: Tables):
-    k = c("form_id")
-    own = t.forms.select("form_id", F.when(k % 3 == 0, "own").when(k % 3 == 1, "").alias("note"))
-    second = t.forms.filter(k % 4 != 1).select("form_id", F.when(k % 2 == 0, "second").otherwise("").alias("note"))
-    third = t.forms.filter(k % 5 == 0).select("form_id", lit("third").alias("note"))
+    own = t.forms.select("form_id", F.when(c("ps") == 1, "own").when(c("ps") == 2, "").alias("note"))
+    second = t.forms.filter("setting = 'Clinic'").select("form_id", F.when(c("cs") > 2, "second").otherwise("").alias("note"))
+    third = t.forms.filter("incident = 'Yes'").select("form_id", lit("third").alias("note"))
     return JN.fill_from(own, [second, third], "form_id", "note")
 
 
@@ -97,12 +96,12 @@ def j08(t: Tables):
 
 
 @query("J09_attendance_gap", """
-, r AS (SELECT student_id FROM stu WHERE student_id % 5 <> 0), f AS (SELECT student_id FROM frm WHERE month(form_date) <= 2)
+, r AS (SELECT student_id FROM stu WHERE cohort <> 'BUILDING'), f AS (SELECT student_id FROM frm WHERE incident = 'Yes')
 SELECT DISTINCT student_id, 'no form' AS gap FROM r WHERE student_id NOT IN (SELECT student_id FROM f)
 UNION ALL SELECT DISTINCT student_id, 'not on roster' FROM f WHERE student_id NOT IN (SELECT student_id FROM r)
 """)
 def j09(t: Tables):
-    return JN.membership_gap(t.students.filter(c("student_id") % 5 != 0), t.forms.filter(F.month("form_date") <= 2), "student_id")
+    return JN.membership_gap(t.students.filter("cohort <> 'BUILDING'"), t.forms.filter("incident = 'Yes'"), "student_id")
 
 
 @query("J10_marker_pairs", """
@@ -190,12 +189,12 @@ def j16(t: Tables):
 
 
 @query("J17_roster_zero_fill", """
-SELECT student_id, count(form_id) AS n_forms, count(form_id) FILTER (incident = 'Yes') AS n_incidents
-FROM stu LEFT JOIN (SELECT * FROM frm WHERE month(form_date) <= 2) USING (student_id) GROUP BY student_id
+SELECT student_id, count(form_id) AS n_forms, count(form_id) FILTER (setting = 'Clinic') AS n_clinic
+FROM stu LEFT JOIN (SELECT * FROM frm WHERE incident = 'Yes') USING (student_id) GROUP BY student_id
 """)
 def j17(t: Tables):
-    counts = t.forms.filter(F.month("form_date") <= 2).groupBy("student_id").agg(
-        F.count("*").alias("n_forms"), F.count_if(c("incident") == "Yes").alias("n_incidents"))
+    counts = t.forms.filter("incident = 'Yes'").groupBy("student_id").agg(
+        F.count("*").alias("n_forms"), F.count_if(c("setting") == "Clinic").alias("n_clinic"))
     return JN.zero_filled(t.students.select("student_id"), counts, "student_id")
 
 
@@ -217,12 +216,12 @@ def j18(t: Tables):
 
 
 @query("J19_question_reference", """
-, q AS (SELECT item, qno, count(*) AS n FROM ans GROUP BY ALL), r AS (SELECT DISTINCT 'IT' || (part_id % 12) AS item, section FROM itm WHERE part_id < 12)
+, q AS (SELECT item, qno, count(*) AS n FROM ans GROUP BY ALL), r AS (SELECT 'IT' || (part_id % 12) AS item, arg_min(section, part_id) AS section FROM itm GROUP BY ALL)
 SELECT item, qno, n, section || ' question ' || qno AS full_text FROM q LEFT JOIN r USING (item)
 """)
 def j19(t: Tables):
     used = t.answers.groupBy("item", "qno").agg(F.count("*").alias("n"))
-    questions = t.items.filter("part_id < 12").select(F.concat(lit("IT"), s(c("part_id") % 12)).alias("item"), "section").distinct()
+    questions = JN.one_per_key(t.items.select(F.concat(lit("IT"), s(c("part_id") % 12)).alias("item"), "section", "part_id"), ["item"], c("part_id"))
     return used.join(questions, "item", "left").select("item", "qno", "n", F.concat("section", lit(" question "), s(c("qno"))).alias("full_text"))
 
 

@@ -244,9 +244,11 @@ def a56(t: Tables):
     return t.forms.select("form_id", *[n(equals(v)).alias(f"grade_{v}") for v in (3, 2, 1)], n(lambda g: g.isNull()).alias("missing"))
 
 
-@query("A57_one_form", "SELECT item, count(*) FILTER (outcome = 'Yes') AS n_yes, count(*) FILTER (outcome = 'No') AS n_no FROM ans WHERE form_id = 42 GROUP BY item")
+@query("A57_one_form", "SELECT item, count(*) FILTER (outcome = 'Yes') AS n_yes, count(*) FILTER (outcome = 'No') AS n_no FROM ans WHERE form_id = (SELECT max(form_id) FROM ans) GROUP BY item")
 def a57(t: Tables):
-    return M.outcome_counts(t.answers.filter("form_id = 42"), ["item"]).select("item", "n_yes", "n_no")
+    """The form chosen here is the latest one."""
+    latest = t.answers.agg(F.max("form_id")).scalar()
+    return M.outcome_counts(t.answers.filter(c("form_id") == latest), ["item"]).select("item", "n_yes", "n_no")
 
 
 @query("A58_incidents_per_marker", """
