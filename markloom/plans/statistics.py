@@ -332,6 +332,28 @@ def weight_search(items, section: str, weight: str):
         ((total - c("right")) / total).alias("all_critical_wrong"), ((total - c("cw")) / total).alias("one_critical_wrong"))
 
 
+@query("M24_marker_distributions", """
+SELECT marker, quantile_cont(level, 0.25) AS q1, quantile_cont(level, 0.5) AS median, quantile_cont(level, 0.75) AS q3, min(level) AS lowest, max(level) AS highest FROM ans GROUP BY marker
+""")
+def m24(t: Tables):
+    """Exact quantiles keep one counter per distinct level."""
+    q = lambda p: F.percentile("level", lit(p))
+    return t.answers.groupBy("marker").agg(q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.min("level").alias("lowest"), F.max("level").alias("highest"))
+
+
+@query("M24_marker_bins", "SELECT marker, floor(cents / 1000000e0) * 1000000e0 AS bin, count(*) AS n FROM ans GROUP BY ALL")
+def m24b(t: Tables):
+    return RP.histogram(t.answers, ["marker"], "cents", 1_000_000)
+
+
+@query("M25_model_guard", """
+SELECT form_id, n_yes, n_no FROM fc WHERE n_yes + n_no > 5 AND n_yes <> n_no
+""")
+def m25(t: Tables):
+    """Forms with more than five answered questions whose answers vary."""
+    return t.form_counts.filter((c("n_yes") + c("n_no") > 5) & (c("n_yes") != c("n_no"))).select("form_id", "n_yes", "n_no")
+
+
 # ---------------------------------------------------------------- user functions
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from markloom.functions import jsonmap as J
-from markloom.functions import text as X
 from markloom.operators import marks as M
 from markloom.operators import ordering as ORD
 from markloom.operators import similarity as SIM
