@@ -37,28 +37,38 @@ def m01(t: Tables):
     return a.withColumns({"ss_between": F.round("ss_between", 4), "ss_within": F.round("ss_within", 4), "f": r6(c("f"))})
 
 
-@query("M01_anova_p_value")
+@query("M01_anova_p_value", ANOVA_SQL + """
+, f AS (SELECT k, n, (ssb / (k - 1)) / (ssw / (n - k)) AS f, (n - k) / 2e0 AS h FROM a),
+x AS (SELECT *, (n - k) / ((n - k) + (k - 1) * f) AS x FROM f)
+SELECT k, n, round(f, 6) AS f, round(pow(x, h) * (1 + h * (1 - x)), 6) AS p FROM x
+""")
 def m01p(t: Tables):
-    a = ST.one_way_anova(t.answers, "marker", "level")
-    return a.withColumn("p", ST.f_p_value(c("f"), (c("k") - 1).cast("double"), (c("n") - c("k")).cast("double")))
+    """Five clinics: with four degrees of freedom the tail has a closed form, used in the SQL."""
+    a = ST.one_way_anova(t.forms.withColumn("y", c("cents").cast("double")), "clinic", "y")
+    p = ST.f_p_value(c("f"), (c("k") - 1).cast("double"), (c("n") - c("k")).cast("double"))
+    return a.select("k", "n", r6(c("f")).alias("f"), r6(p).alias("p"))
 
 
-@query("M02_kruskal_wallis", """
+KRUSKAL_SQL = """
 , r AS (SELECT clinic, rank() OVER (ORDER BY cents) + (count(*) OVER (PARTITION BY cents) - 1) / 2e0 AS r, cents FROM frm),
 g AS (SELECT clinic, count(*) AS n, sum(r) AS s FROM r GROUP BY clinic),
 tie AS (SELECT sum(CAST(n AS DOUBLE) * n * n - n) AS t FROM (SELECT count(*) AS n FROM frm GROUP BY cents)),
 tot AS (SELECT count(*) AS k, CAST(sum(n) AS BIGINT) AS n, sum(s * s / n) AS q FROM g)
-SELECT k, n, round((12e0 / (CAST(n AS DOUBLE) * (n + 1)) * q - 3e0 * (n + 1)) / (1e0 - t / (CAST(n AS DOUBLE) * n * n - n)), 5) AS h FROM tot, tie
-""")
+"""
+H_SQL = "(12e0 / (CAST(n AS DOUBLE) * (n + 1)) * q - 3e0 * (n + 1)) / (1e0 - t / (CAST(n AS DOUBLE) * n * n - n))"
+
+
+@query("M02_kruskal_wallis", KRUSKAL_SQL + f"SELECT k, n, round({H_SQL}, 5) AS h FROM tot, tie")
 def m02(t: Tables):
     h = ST.kruskal(t.forms, "clinic", "cents", F.floor(c("cents") / 1_000_000))
     return h.withColumn("h", F.round("h", 5))
 
 
-@query("M02_kruskal_p_value")
+@query("M02_kruskal_p_value", KRUSKAL_SQL + f", h AS (SELECT k, n, {H_SQL} AS h FROM tot, tie) SELECT k, n, round(exp(-h / 2) * (1 + h / 2), 6) AS p FROM h")
 def m02p(t: Tables):
+    """Five clinics: with four degrees of freedom the tail has a closed form, used in the SQL."""
     h = ST.kruskal(t.forms, "clinic", "cents", F.floor(c("cents") / 1_000_000))
-    return h.withColumn("p", ST.chi2_p_value(c("h"), (c("k") - 1).cast("double")))
+    return h.select("k", "n", r6(ST.chi2_p_value(c("h"), (c("k") - 1).cast("double"))).alias("p"))
 
 
 @query("M03_tukey_pairs", ANOVA_SQL + """
@@ -287,6 +297,23 @@ def m21(t: Tables):
     return SIM.pick_dissimilar(blocks_of_twelve(t), ["section", "block"], "vec_id", "embedding", 4)
 
 
+@query("M21_least_similar_pair", """
+, q AS (SELECT label AS section, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v,
+   (row_number() OVER (PARTITION BY label ORDER BY vec_id % 11 DESC, vec_id) - 1) // 12 AS block FROM embeddings),
+b AS (SELECT section, block FROM q GROUP BY ALL HAVING count(*) > 4),
+p AS (SELECT x.section, x.block, x.vec_id AS first_id, y.vec_id AS second_id, list_cosine_similarity(x.v, y.v) AS sim
+      FROM q x JOIN q y ON x.section = y.section AND x.block = y.block AND x.vec_id < y.vec_id JOIN b ON b.section = x.section AND b.block = x.block)
+SELECT section, block, arg_min(first_id, sim) AS first_id, arg_min(second_id, sim) AS second_id FROM p GROUP BY ALL
+""")
+def m21b(t: Tables):
+    """The pair the greedy pick starts from, in blocks that leave a choice."""
+    blocks = blocks_of_twelve(t)
+    sizes = blocks.groupBy("section", "block").agg(F.count("*").alias("n")).filter("n > 4").select("section", "block")
+    picked = SIM.pick_dissimilar(blocks, ["section", "block"], "vec_id", "embedding", 4).filter("pick <= 2")
+    pair = picked.groupBy("section", "block").agg(F.min("vec_id").alias("first_id"), F.max("vec_id").alias("second_id"))
+    return pair.join(sizes, ["section", "block"], "left_semi")
+
+
 @query("M22_question_means", """
 SELECT clinic, CAST(year(form_date) AS BIGINT) AS year, question, CAST(sum(mark) AS DOUBLE) / count(mark) AS mean_mark
 FROM (SELECT clinic, form_date, unnest(['ps', 'cs', 'ts', 'es']) AS question, unnest([ps, cs, ts, es]) AS mark FROM frm) GROUP BY ALL
@@ -393,6 +420,21 @@ def y06(t: Tables):
     return t.forms.select("form_id", F.inline(slots))
 
 
+@query("Y07_group_to_rows", """
+, q AS (SELECT label AS section, vec_id, vec_id % 11 AS score, (row_number() OVER (PARTITION BY label ORDER BY vec_id % 11 DESC, vec_id) - 1) // 12 AS block FROM embeddings)
+SELECT section, block, vec_id, round(score - avg(score) OVER (PARTITION BY section, block), 6) AS above_mean FROM q
+""")
+def y07(t: Tables):
+    """A Python function over one block of twelve rows at a time."""
+
+    def above_mean(pdf):
+        pdf["above_mean"] = (pdf["score"] - pdf["score"].mean()).round(6)
+        return pdf[["section", "block", "vec_id", "above_mean"]]
+
+    blocks = blocks_of_twelve(t).select("section", "block", "vec_id", "score")
+    return blocks.groupBy("section", "block").applyInPandas(above_mean, "section int, block bigint, vec_id bigint, above_mean double")
+
+
 @query("Y08_function_as_parameter", """
 SELECT clinic, max(cents) FILTER (setting = 'Clinic') AS in_clinic, max(cents) FILTER (setting = 'Simulation') AS in_simulation FROM frm GROUP BY clinic
 """)
