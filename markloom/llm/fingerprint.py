@@ -16,14 +16,15 @@ LOW = 0xFFFFFFFF
 LEAST = -(2**63)
 
 
-#: Where a phrase ends: at a line's end, and at blanks after a mark or after one of a few letters. Some three words a phrase.
-PHRASE_END = r"\n|(?<=[.!?;,:aeo])[\x20\t]+"
+#: Where a phrase ends: at blanks after a mark or after one of a few letters. Some three words a phrase.
+PHRASE_END = r"(?<=[.!?;,:aeo])[\x20\t]+"
 
 
 def elements(text: Column) -> Column:
-    """A text's multiset: its paragraphs (lines), and the phrases of each."""
-    return F.array(F.struct(F.lit(0).alias("kind"), F.split(text, "\n").alias("pieces")),
-                   F.struct(F.lit(1).alias("kind"), F.split(text, PHRASE_END).alias("pieces")))
+    """A text's multiset: its paragraphs (lines), and the distinct phrases of each paragraph."""
+    lines = F.split(text, "\n")
+    phrases = F.flatten(F.transform(lines, lambda x: F.array_distinct(F.split(x, PHRASE_END))))
+    return F.array(F.struct(F.lit(0).alias("kind"), lines.alias("pieces")), F.struct(F.lit(1).alias("kind"), phrases.alias("pieces")))
 
 
 def sums(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -55,19 +56,18 @@ def _counters(side: str) -> list[Column]:
 
 
 def likeness(left: str, right: str) -> Column:
-    """1 for equal sums; else 1 less the estimated share of elements that only one side has, between 0 and 1.
+    """1 for equal sums; else the estimated share of phrases that both sides have, between 0 and 1.
 
-    A counter's signed value is twice its bits less the number of elements; the mean square of the 64
-    differences estimates the size of the symmetric difference.
+    A counter's signed value is twice its bits less the number of elements. Of two texts, the mean product of the counters
+    estimates what they share, the mean squares what each has; the result is twice the first over the sum of the others.
     """
     n, m = F.col(f"{left}n").cast("double"), F.col(f"{right}n").cast("double")
-    squares = [F.pow(2.0 * (a - b).cast("double") - (n - m), 2) for a, b in zip(_counters(left), _counters(right))]
-    apart = sum(squares[1:], squares[0]) / COUNTERS
-    same = [F.col(f"{left}e{i}").bitwiseAND(F.lit(LOW)) == F.col(f"{right}e{i}").bitwiseAND(F.lit(LOW)) for i in range(EXACT)]
-    equal = same[0]
-    for x in same[1:]:
-        equal = equal & x
-    return F.when(equal, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - apart / (n + m))))
+    pairs = [(2.0 * a - n, 2.0 * b - m) for a, b in zip(_counters(left), _counters(right))]
+    total = lambda xs: F.aggregate(F.array(*xs), F.lit(0.0), lambda s, x: s + x)
+    shared, own = total([a * b for a, b in pairs]), total([a * a + b * b for a, b in pairs])
+    words = lambda side: F.array(*[F.col(f"{side}e{i}").bitwiseAND(F.lit(LOW)) for i in range(EXACT)])
+    share = F.when(own == 0, 0.0).otherwise(2.0 * shared / own)
+    return F.when(words(left) == words(right), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
 
 
 def next_keys(ids: DataFrame, key: str) -> DataFrame:
