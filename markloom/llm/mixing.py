@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 from pyspark.sql.window import Window as W
 
 from markloom.llm.common import SPACE, land
@@ -38,7 +39,7 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, most: int =
     return out
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def permuted(slot: pd.Series, n: pd.Series, seed: pd.Series) -> pd.Series:
     """The place of ``slot`` under a pseudorandom permutation of 0..n-1 that belongs to ``seed``.
 
@@ -115,7 +116,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
     ranges = sources.where("n_slots > 0").select(
         "source", "n_blocks", "n_slots", F.explode(F.sequence(F.lit(0), (F.col("n_slots") - 1), F.lit(per_task).cast("bigint"))).alias("first"))
     slot = F.explode(F.sequence("first", F.least(F.col("first") + per_task, "n_slots") - 1)).alias("slot")
-    slots = ranges.repartition(F.col("source"), F.col("first")).select("source", "n_blocks", slot)
+    tasks = sum(p[4] // per_task + 1 for p in plan) or 1
+    slots = ranges.repartition(tasks, "source", "first").select("source", "n_blocks", slot)
     slots = slots.select(
         F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "source", "slot"), F.lit(shards)).alias("shard"), "source", "slot",
         F.expr("slot div n_blocks").alias("pass"),
@@ -135,7 +137,8 @@ def _pieces(places: DataFrame, block: int) -> DataFrame:
 
 def taken_words(m: Mix, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target, taken: for every document, the words that the mix takes of it."""
-    counts = m.slots.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.count("*").alias("times"))
+    # The slots come from a few rows, so their number is underestimated: they must not be broadcast.
+    counts = m.slots.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.count("*").alias("times")).hint("merge")
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
     taken = (_pieces(m.places, block).join(counts, same).groupBy("doc_id", "doc_key")
              .agg(F.sum((F.col("to") - F.col("from")) * F.col("times")).alias("taken")))
@@ -156,7 +159,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block
     there is such a column, is counted anew.
     """
     m = mix(docs, weights, block, seed=seed)
-    slots = m.slots.select(F.col("source").alias("s"), F.col("block").alias("b"), "pass")
+    slots = m.slots.select(F.col("source").alias("s"), F.col("block").alias("b"), "pass").hint("merge")
     runs = (_pieces(m.places.distinct(), block).join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
             .groupBy("doc_id", "doc_key", "pass").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("runs")))
     all_words = F.regexp_extract_all("text", F.lit(f"[{SPACE}]*[^{SPACE}]+"), F.lit(0))
