@@ -22,12 +22,13 @@ def land(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, also where ``use`` names it several times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     space = " \t\n\x0b\x0c\r"
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(space))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{SPACE}]+"))
-
-
-def hex_sha256(column: Column) -> Column:
-    return F.sha2(column, 256)

@@ -107,18 +107,18 @@ def dedup(docs: DataFrame) -> DataFrame:
     first. Rows with the same doc_id and text are one place: they keep the same lines. A document may lose all its lines; its
     text is then empty. An empty table gives no rows. Columns named n_lines and removed are replaced.
     """
-    base = docs.drop("n_lines", "removed").withColumn("row_key", F.xxhash64("doc_id", "text"))
-    found = land(_exploded(base, "doc_id", "row_key").select("doc_id", "row_key", "line_no", "id"), "lines")
-    place = F.struct("doc_id", "row_key", "line_no")
+    base = docs.drop("n_lines", "removed").withColumn("llm_row_key", F.xxhash64("doc_id", "text"))
+    found = land(_exploded(base, "doc_id", "llm_row_key").select("doc_id", "llm_row_key", "line_no", "id"), "lines")
+    place = F.struct("doc_id", "llm_row_key", "line_no")
     classes = land(found.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")), "classes")
     of = components(line_links(base.select("text"))).select(F.col("node").alias("id"), "component")
     named = classes.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     keepers = named.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("n").alias("lines")).where("lines > 1")
     doomed = named.join(keepers, "component").select("id", "keeper")
-    removed = (found.join(doomed, "id").where(~F.struct("doc_id", "row_key", "line_no").eqNullSafe(F.col("keeper")))
-               .groupBy(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key")).agg(F.sort_array(F.collect_set("line_no")).alias("removed")))
+    removed = (found.join(doomed, "id").where(~F.struct("doc_id", "llm_row_key", "line_no").eqNullSafe(F.col("keeper")))
+               .groupBy(F.col("doc_id").alias("llm_gone_id"), F.col("llm_row_key").alias("llm_gone_key")).agg(F.sort_array(F.collect_set("line_no")).alias("removed")))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    out = base.withColumn("n_lines", n_lines.cast("bigint")).join(removed, F.expr("doc_id <=> gone_id AND row_key = gone_key"), "left")
+    out = base.withColumn("n_lines", n_lines.cast("bigint")).join(removed, F.expr("doc_id <=> llm_gone_id AND llm_row_key = llm_gone_key"), "left")
     gone = F.coalesce("removed", F.array().cast("array<int>"))
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(
         F.concat_ws("\n", F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("removed", i))))

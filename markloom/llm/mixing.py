@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window as W
 
-from markloom.llm.common import SPACE, land
+from markloom.llm.common import SPACE, land, let
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK = 64
@@ -67,7 +67,7 @@ def permuted(slot: pd.Series, n: pd.Series, seed: pd.Series) -> pd.Series:
 
 @dataclass
 class Mix:
-    """``sources``: source, source_size, target, n_blocks, n_slots. ``places``: doc_key, doc_id, source, size, offset of its
+    """``sources``: source, source_size, target, n_blocks, n_slots. ``places``: llm_doc_key, doc_id, source, size, offset of its
     first word in its source's stream. ``slots``: shard, source, slot, pass, block."""
 
     sources: DataFrame
@@ -88,19 +88,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
     driver: their number is taken to be small (thousands), as it is the number of weights; documents never are.
     """
     spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("doc_key"))
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("llm_doc_key"))
     sized = land(sized, "sizes")
     # Sizes are summed within pieces of each source, then over the pieces: no source meets in one task.
     rows = sized.count()
     pieces = max(1, round(rows ** 0.5))
     piece = F.pmod(F.xxhash64("doc_id"), F.lit(pieces)).alias("piece")
-    inner = W.partitionBy("source", "piece").orderBy("doc_id", "doc_key").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("source", "piece").orderBy("doc_id", "llm_doc_key").rowsBetween(W.unboundedPreceding, -1)
     within = sized.select("*", piece).withColumn("before", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     sums = sized.groupBy("source", piece).agg(F.sum("size").alias("words"))
     outer = W.partitionBy("source").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("s"), F.col("piece").alias("p"), F.coalesce(F.sum("words").over(outer), F.lit(0)).alias("start"))
     places = (within.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("piece") == F.col("p")))
-              .select("doc_key", "doc_id", "source", "size", (F.col("start") + F.col("before")).alias("offset")))
+              .select("llm_doc_key", "doc_id", "source", "size", (F.col("start") + F.col("before")).alias("offset")))
 
     totals = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()  # one row a source
     totals.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be")))
@@ -140,14 +140,14 @@ def taken_words(m: Mix, block: int = BLOCK) -> DataFrame:
     # The slots come from a few rows, so their number is underestimated: they must not be broadcast.
     counts = m.slots.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.count("*").alias("times")).hint("merge")
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
-    taken = (_pieces(m.places, block).join(counts, same).groupBy("doc_id", "doc_key")
+    taken = (_pieces(m.places, block).join(counts, same).groupBy("doc_id", "llm_doc_key")
              .agg(F.sum((F.col("to") - F.col("from")) * F.col("times")).alias("taken")))
     d = m.places.alias("d")
     # Equal rows (same id and text) are counted together and shared out evenly.
-    twins = m.places.groupBy("doc_id", "doc_key").agg(F.count("*").alias("n"))
-    each = taken.alias("t").join(twins.alias("w"), F.expr("t.doc_id <=> w.doc_id AND t.doc_key = w.doc_key")).select(
-        "t.doc_id", "t.doc_key", (F.col("t.taken") / F.col("w.n")).cast("bigint").alias("taken"))
-    return (d.join(each.alias("t"), F.expr("d.doc_id <=> t.doc_id AND d.doc_key = t.doc_key"), "left")
+    twins = m.places.groupBy("doc_id", "llm_doc_key").agg(F.count("*").alias("n"))
+    each = taken.alias("t").join(twins.alias("w"), F.expr("t.doc_id <=> w.doc_id AND t.llm_doc_key = w.llm_doc_key")).select(
+        "t.doc_id", "t.llm_doc_key", (F.col("t.taken") / F.col("w.n")).cast("bigint").alias("taken"))
+    return (d.join(each.alias("t"), F.expr("d.doc_id <=> t.doc_id AND d.llm_doc_key = t.llm_doc_key"), "left")
             .join(m.sources.alias("s"), F.expr("d.source <=> s.source"))
             .select("d.doc_id", "d.size", "s.source_size", "s.target", F.coalesce("t.taken", F.lit(0)).cast("bigint").alias("taken")))
 
@@ -161,12 +161,13 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block
     m = mix(docs, weights, block, seed=seed)
     slots = m.slots.select(F.col("source").alias("s"), F.col("block").alias("b"), "pass").hint("merge")
     runs = (_pieces(m.places.distinct(), block).join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-            .groupBy("doc_id", "doc_key", "pass").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("runs")))
+            .groupBy("doc_id", "llm_doc_key", "pass").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("runs")))
     all_words = F.regexp_extract_all("text", F.lit(f"[{SPACE}]*[^{SPACE}]+"), F.lit(0))
-    cut = F.concat_ws("", F.flatten(F.transform("runs", lambda r: F.slice(F.col("all_words"), (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))))
-    keyed = docs.withColumn("doc_key", F.xxhash64("doc_id", "text"))
-    out = (keyed.alias("d").join(runs.alias("r"), F.expr("d.doc_id <=> r.doc_id AND d.doc_key = r.doc_key"))
-           .select("d.*", "r.runs").withColumn("all_words", all_words).withColumn("text", cut))
+    cut = let(all_words, lambda w: F.concat_ws("", F.flatten(F.transform("runs", lambda r: F.slice(
+        w, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int"))))))
+    keyed = docs.withColumn("llm_doc_key", F.xxhash64("doc_id", "text"))
+    out = (keyed.alias("d").join(runs.alias("r"), F.expr("d.doc_id <=> r.doc_id AND d.llm_doc_key = r.llm_doc_key"))
+           .select("d.*", "r.runs").withColumn("text", cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

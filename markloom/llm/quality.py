@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import SPACE, land, words
+from markloom.llm.common import SPACE, land, let, words
 
 #: A line is boilerplate of a host if more than this share of its documents, and at least so many, have it.
 MOST_SHARE = 0.05
@@ -21,10 +21,11 @@ def n_repeat_words(w: Column) -> Column:
     Windows are hashed and sorted with their place; a window next to an equal one repeats. The places of these, in
     order, cover three words each less what they share with the one before.
     """
-    hashes = F.transform(w, lambda x: F.xxhash64(x))
-    windows = F.zip_with(F.zip_with(hashes, F.slice(hashes, F.lit(2), F.size(w)), lambda a, b: F.xxhash64(a, b)), F.slice(hashes, F.lit(3), F.size(w)),
-                         lambda ab, c: F.when(c.isNotNull(), F.xxhash64(ab, c)))
-    return F.get(F.transform(F.array(F.filter(windows, lambda x: x.isNotNull())), _covered), F.lit(0)).cast("bigint")
+    def windows(h: Column) -> Column:
+        pairs = F.zip_with(h, F.slice(h, F.lit(2), F.size(h)), lambda a, b: F.xxhash64(a, b))
+        return F.filter(F.zip_with(pairs, F.slice(h, F.lit(3), F.size(h)), lambda ab, c: F.when(c.isNotNull(), F.xxhash64(ab, c))), lambda x: x.isNotNull())
+
+    return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: let(windows(h), _covered)).cast("bigint")
 
 
 def _covered(windows: Column) -> Column:
@@ -36,8 +37,7 @@ def _covered(windows: Column) -> Column:
         return F.aggregate(F.zip_with(at, F.slice(at, F.lit(2), F.size(at)), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3))), F.lit(0), lambda s, x: s + x)
 
     pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    one = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
-    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(one(pairs, lambda p: one(places(p), total)))
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(let(pairs, lambda p: let(places(p), total)))
 
 
 def normalised(line: Column) -> Column:
@@ -74,27 +74,27 @@ def judge(docs: DataFrame, share: float = MOST_SHARE, least: int = LEAST_DOCS) -
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_words_left", "removed", "kept"]
     base = docs.drop(*made)
     key = F.xxhash64("doc_id", "source", "text")
-    lines = land(base.select("source", key.alias("row_key"), F.xxhash64("text").alias("same"), _lines(F.coalesce("text", F.lit(""))).alias("lines")), "lines")
+    lines = land(base.select("source", key.alias("llm_row_key"), F.xxhash64("text").alias("same"), _lines(F.coalesce("text", F.lit(""))).alias("lines")), "lines")
     frequent = frequent_lines(lines, share, least)
-    hits = (lines.select("source", "row_key", F.explode(F.array_distinct("lines.line")).alias("line"))
+    hits = (lines.select("source", "llm_row_key", F.explode(F.array_distinct("lines.line")).alias("line"))
             .join(frequent.select(F.col("source").alias("s"), F.col("line").alias("l")), F.expr("source <=> s AND line = l"))
-            .groupBy("row_key").agg(F.collect_set("line").alias("removed")))
+            .groupBy("llm_row_key").agg(F.collect_set("line").alias("removed")))
     left = F.aggregate(F.filter("lines", lambda x: ~F.array_contains("removed", x["line"])), F.lit(0), lambda s, x: s + x["words"])
-    verdict = (lines.groupBy("row_key").agg(F.first("lines").alias("lines")).join(hits, "row_key")
-               .select(F.col("row_key").alias("key"), "removed", left.cast("bigint").alias("left")))
+    verdict = (lines.groupBy("llm_row_key").agg(F.first("lines").alias("lines")).join(hits, "llm_row_key")
+               .select(F.col("llm_row_key").alias("llm_key"), F.col("removed").alias("llm_removed"), left.cast("bigint").alias("llm_left")))
     text = F.coalesce(F.col("text"), F.lit(""))
     n = F.regexp_count(text, F.lit(f"[^{SPACE}]+")).cast("bigint")
     full = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(f"[^{SPACE}]")))
     facts = base.select(
-        "*", key.alias("row_key"), n.alias("n_words"),
+        "*", key.alias("llm_row_key"), n.alias("n_words"),
         (F.char_length(text) - F.regexp_count(text, F.lit(f"[{SPACE}]"))).cast("bigint").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
-        F.get(F.transform(F.array(full), lambda x: F.size(x) - F.size(F.array_distinct(x))), F.lit(0)).cast("bigint").alias("n_dup_lines"),
+        let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         n_repeat_words(words(F.col("text"))).alias("n_repeat_words"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = facts.join(verdict, F.col("row_key") == F.col("key"), "left").withColumns({
-        "base_failed": failed, "n_words_left": F.coalesce("left", "n_words"),
-        "removed": F.coalesce("removed", F.array().cast("array<bigint>"))})
+    out = facts.join(verdict, F.col("llm_row_key") == F.col("llm_key"), "left").withColumns({
+        "base_failed": failed, "n_words_left": F.coalesce("llm_left", "n_words"),
+        "removed": F.coalesce("llm_removed", F.array().cast("array<bigint>"))})
     kept = ~F.col("base_failed") & (F.col("n_words_left") >= LEAST_LEFT * F.col("n_words"))
     return out.withColumn("kept", kept).select(*base.columns, *made)
 

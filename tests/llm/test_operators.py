@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import statistics
+from functools import lru_cache
 
 import brute
 import numpy as np
@@ -48,9 +49,13 @@ NO_ID = [(i, t) for i, t, *_ in EDGE if i is not None]
 
 # 1
 
+@lru_cache
+def encoding():
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(catalog.RANKS), special_tokens={})
+
+
 def tokens(text):
-    ranks = bpe.read_ranks(catalog.RANKS)
-    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text or "")
+    return encoding().encode_ordinary(text or "")
 
 
 def check_ids(rows, texts):
