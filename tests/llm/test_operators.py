@@ -325,7 +325,8 @@ def test_quality_edges(spark, edge):
 
 def test_quality_lines(spark):
     """A line that half of a host's documents have goes; who has little else is rejected; copies count once."""
-    body = lambda i, n: " ".join(f"d{i}w{j}" for j in range(n))
+    name = lambda i: "".join("abcdefghij"[int(x)] for x in str(i))
+    body = lambda i, n: " ".join(f"d{name(i)}w{name(j)}" for j in range(n))
     hot = " ".join(f"menu{j}" for j in range(60))
     rows = [(i, f"{body(i, 70 if i else 3)}\n{hot.upper() if i % 2 else hot}" if i < 30 else body(i, 80), "h") for i in range(60)]
     rows += [(100 + i, body(999, 90) + "\nkept line", "h") for i in range(40)]
