@@ -118,7 +118,6 @@ AGE_BANDS = [("0-6", 0, 6), ("7-17", 7, 17), ("18+", 18, 139)]
 
 # words counted as praise or criticism in a remark (a list of our own, small by design)
 POLARITY_WORDS = {
-    "good": 1.0, "great": 1.0, "excellent": 1.0, "well": 0.5, "clear": 0.5,
-    "the": 0.25, "and": 0.25, "des": 0.25, "poor": -1.0, "bad": -1.0,
-    "late": -0.5, "unsafe": -1.0, "not": -0.5, "les": -0.25, "un": -0.25,
+    "good": 1.0, "great": 1.0, "excellent": 1.0, "well": 0.5, "clear": 0.5, "careful": 0.5,
+    "poor": -1.0, "bad": -1.0, "late": -0.5, "unsafe": -1.0, "not": -0.5, "unclear": -0.5,
 }

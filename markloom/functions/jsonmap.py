@@ -10,12 +10,15 @@ COMMON_CHECKLISTS = ["PEC", "ICC", "RKC", "CC"]
 
 
 def parse_map(text: Column, value_type: str = "string") -> Column:
-    """JSON text (single quotes allowed) to a map; broken text gives an empty map."""
-    plain = F.translate(text, "'", '"')
-    return F.coalesce(
-        F.from_json(plain, f"map<string,{value_type}>", {"mode": "PERMISSIVE"}),
-        F.create_map().cast(f"map<string,{value_type}>"),
-    )
+    """JSON text (single quotes allowed) to a map; broken text gives an empty map.
+
+    Text that is no JSON is read once more as a literal, with None, True and False.
+    """
+    kind = f"map<string,{value_type}>"
+    literal = text
+    for word, json in (("None", "null"), ("True", "true"), ("False", "false")):
+        literal = F.regexp_replace(literal, rf"(?<=[:,\[]\s?){word}(?=\s*[,}}\]])", json)
+    return F.coalesce(F.from_json(text, kind), F.from_json(literal, kind), F.create_map().cast(kind))
 
 
 def without(m: Column, keys: list[str]) -> Column:

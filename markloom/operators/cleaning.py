@@ -24,10 +24,9 @@ def real_names(df: DataFrame, name: str, test_words: list[str]) -> DataFrame:
 
 
 def resit_rule(df: DataFrame, key: str, day: str, main_month: int, resit_month: int) -> DataFrame:
-    """Who sat the resit month loses the rows of the main month."""
-    resit = df.filter(F.month(day) == resit_month).select(key).distinct()
-    main = df.filter(F.month(day) == main_month)
-    return df.filter(F.month(day) != main_month).unionByName(main.join(resit, key, "left_anti"))
+    """Who sat the resit month loses the rows of the main month; rows without a date stay."""
+    resit = df.filter(F.month(day) == resit_month).select(F.col(key).alias("_sat")).distinct()
+    return df.join(resit, (F.col(key) == F.col("_sat")) & (F.month(day) == main_month), "left_anti")
 
 
 def meaningful(text: Column, ignored: list[str]) -> Column:

@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_sheet(spark: SparkSession, path: str, schema: str, fmt: str = "csv", **options: str) -> DataFrame:
-    """One sheet with a header row and a declared schema."""
-    reader = spark.read.schema(schema).options(**options)
-    return reader.option("header", "true").csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+#: Quotes inside a cell are doubled.
+CSV = {"header": "true", "escape": '"'}
+
+
+def read_sheet(spark: SparkSession, path: str, schema: str, fmt: str = "csv", multi_line: bool = False, **options: str) -> DataFrame:
+    """One sheet with a header row and a declared schema.
+
+    ``multi_line``: cells may hold line breaks, as in survey exports; a file is then read by one task.
+    """
+    reader = spark.read.schema(schema).options(**(CSV | {"multiLine": str(multi_line).lower()} if fmt == "csv" else {}), **options)
+    return reader.csv(path) if fmt == "csv" else reader.format(fmt).load(path)
 
 
 def read_all_sheets(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -36,18 +43,18 @@ def read_csv_any_encoding(spark: SparkSession, path: str, schema: str, encoding:
 
 def head_rows(spark: SparkSession, path: str, n: int) -> list[list[str]]:
     """The first ``n`` rows of an export as text: header metadata, as wide as the sheet."""
-    rows = spark.read.option("header", "false").option("multiLine", "true").csv(path).limit(n).collect()
+    rows = spark.read.options(header="false", escape='"', multiLine="true").csv(path).limit(n).collect()
     return [["" if v is None else v for v in r] for r in rows]
 
 
-def read_two_row_header(spark: SparkSession, header_path: str, data_path: str, sep: str = " | ") -> DataFrame:
+def read_two_row_header(spark: SparkSession, header_path: str, data_path: str, sep: str = " | ", multi_line: bool = False) -> DataFrame:
     """Columns named ``a | b`` from two header rows; an empty top cell continues the one before."""
     top, low = head_rows(spark, header_path, 2)
     names, group = [], ""
     for a, b in zip(top, low):
         group = a or group
         names.append(f"{group}{sep}{b}" if group else b)
-    rows = spark.read.option("header", "false").csv(data_path)
+    rows = spark.read.options(header="false", escape='"', multiLine=multi_line).csv(data_path)
     return rows.toDF(*names)
 
 
@@ -80,9 +87,9 @@ def read_named_files(spark: SparkSession, path: str, patterns: dict[str, str], f
     return df.withColumns({name: F.regexp_extract(F.col("_metadata.file_path"), p, 1) for name, p in patterns.items()})
 
 
-def read_text_columns(spark: SparkSession, path: str) -> DataFrame:
+def read_text_columns(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Every column as text; only the empty string is null, the text NA stays."""
-    df = spark.read.option("header", "true").option("nullValue", "").option("emptyValue", "").csv(path)
+    df = spark.read.options(**CSV, nullValue="", emptyValue="", multiLine=multi_line).csv(path)
     return df.select(*[F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
 
 

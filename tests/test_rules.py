@@ -185,3 +185,28 @@ def test_wide_export_goes_long(spark):
     wide = spark.range(3).select("id", *[F.lit(str(i)).alias(f"q {i}") for i in range(300)])
     long = R.wide_to_long(wide, ["id"], wide.columns[1:])
     assert long.count() == 900 and long.filter("position = 7 and header = 'q 7' and value = '7'").count() == 3
+
+
+def test_json_maps_keep_apostrophes(spark):
+    from markloom.functions.jsonmap import parse_map
+
+    texts = ['{"k": "don\'t"}', "{'k': 'v'}", "{'k': None, 'ok': True}", "broken", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", parse_map(F.col("t")).alias("m")).collect()
+    assert {r.i: r.m for r in rows} == {0: {"k": "don't"}, 1: {"k": "v"}, 2: {"k": None, "ok": "true"}, 3: {}, 4: {}}
+
+
+def test_resit_rule_keeps_rows_without_date(spark):
+    from markloom.operators.cleaning import resit_rule
+
+    df = spark.createDataFrame([(1, "2025-06-01"), (1, "2025-08-01"), (2, "2025-06-02"), (1, None), (3, None)], "k int, d string").withColumn("d", F.to_date("d"))
+    got = sorted((r.k, str(r.d)) for r in resit_rule(df, "k", "d", 6, 8).collect())
+    assert got == [(1, "2025-08-01"), (1, "None"), (2, "2025-06-02"), (3, "None")]
+
+
+def test_csv_cells_with_quotes_and_line_breaks(spark, tmp_path):
+    from markloom.sources.readers import read_sheet, read_text_columns
+
+    (tmp_path / "a.csv").write_text('id,said\n1,"said ""no, later"" twice"\n2,"two\nlines"\n')
+    want = [("1", 'said "no, later" twice'), ("2", "two\nlines")]
+    assert [tuple(r) for r in read_sheet(spark, str(tmp_path), "id string, said string", multi_line=True).collect()] == want
+    assert [tuple(r) for r in read_text_columns(spark, str(tmp_path), multi_line=True).collect()] == want
