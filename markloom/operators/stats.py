@@ -99,6 +99,8 @@ def studentized_range_tail(q: float, k: int, df: float) -> float:
         low = 0.5 * (1.0 + np.vectorize(math.erf)((z - w) / math.sqrt(2)))
         return float(np.sum(8.0 * _GL_W * k * phi * (cdf - low) ** (k - 1)))
 
+    if math.isinf(df):
+        return max(0.0, 1.0 - range_cdf(q))  # the scale is known
     spread = 8.0 / math.sqrt(2.0 * df)
     lo, hi = max(1e-9, 1.0 - spread), 1.0 + spread
     s = (hi - lo) / 2.0 * _GL_X + (hi + lo) / 2.0
