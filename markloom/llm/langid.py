@@ -82,7 +82,8 @@ def _learner(dimensions: int):
                     total = sums.setdefault(lang, np.zeros(dimensions, np.int64))
                     for i in range(0, len(codes), 50_000):
                         total += np.rint(counts[i:i + 50_000].astype(np.float64) @ vectors.of(codes[i:i + 50_000])).astype(np.int64)
-        yield pd.DataFrame({"lang": list(sums), "v": [x.tolist() for x in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "v": [x.tolist() for x in sums.values()]})
 
     return learn
 
