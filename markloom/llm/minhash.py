@@ -1,8 +1,10 @@
-"""One-permutation MinHash signatures and banded buckets."""
+"""One-permutation MinHash signatures, banded buckets and odd sketches."""
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 EMPTY = np.uint64(2**64 - 1)
 
@@ -43,3 +45,23 @@ def bands(signature: np.ndarray, rows: int) -> np.ndarray:
     for i in range(rows):
         key = mix(key * np.uint64(0x100000001B3) ^ parts[:, :, i])
     return key.view(np.int64)
+
+
+def odd_sketch(hashes: np.ndarray, owners: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """(n, bits / 64) longs: each bit says whether an odd number of the owner's distinct hashes falls on it.
+
+    The exclusive or of two sketches is that of what only one of the sets has, so it has at most as many bits set.
+    """
+    odd = np.bincount(owners.astype(np.int64) * bits + (mix(hashes) % np.uint64(bits)).astype(np.int64), minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64)
+
+
+def may_link(x: str, y: str, size: str, bits: int, percent: int) -> Column:
+    """False only for pairs that cannot be alike enough, by the sizes and sketches of ``x`` and ``y``.
+
+    Sets of s elements in all, d of them in one set only, have a likeness of (s - d) / (s + d).
+    """
+    differ = sum((F.bit_count(F.get(f"{x}.sketch", F.lit(i)).bitwiseXOR(F.get(f"{y}.sketch", F.lit(i)))) for i in range(1, bits // 64)),
+                 F.bit_count(F.get(f"{x}.sketch", F.lit(0)).bitwiseXOR(F.get(f"{y}.sketch", F.lit(0)))))
+    least = F.greatest(differ.cast("bigint"), F.abs(F.col(f"{x}.{size}") - F.col(f"{y}.{size}")))
+    return (100 + percent) * least <= (100 - percent) * (F.col(f"{x}.{size}") + F.col(f"{y}.{size}"))

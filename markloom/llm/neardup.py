@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from markloom.llm.common import land
 from markloom.llm.graph import components
-from markloom.llm.minhash import bands, mix, signatures
+from markloom.llm.minhash import bands, may_link, mix, odd_sketch, signatures
 
 SHINGLE = 5
 PERCENT = 80
 BINS, ROWS = 288, 6
+SKETCH_BITS = 1024
 REMEMBERED = 1_000_000
 
 
@@ -52,7 +53,7 @@ def shingle_set(text: str | None, k: int) -> set[tuple[bytes, ...]]:
     return set(zip(*(w[i:] for i in range(k)))) if len(w) >= k else {tuple(w)} if w else set()
 
 
-SIGNED = "doc_id bigint, n_shingles bigint, low bigint, high bigint, bands array<bigint>"
+SIGNED = "doc_id bigint, n_shingles bigint, low bigint, high bigint, bands array<bigint>, sketch array<bigint>"
 
 
 def _signer(k: int):
@@ -65,9 +66,11 @@ def _signer(k: int):
                 sizes = np.array([*map(len, sets)])
                 digests = [divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 2**64) for s in sets]
                 low, high = (np.array([d[i] for d in digests], np.uint64).view(np.int64) for i in (1, 0))
-                keys = bands(signatures(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets), BINS), ROWS)
+                hashes, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                keys = bands(signatures(hashes, owners, len(sets), BINS), ROWS)
                 yield pd.DataFrame({"doc_id": part["doc_id"], "n_shingles": sizes, "low": low, "high": high,
-                                    "bands": [x.tolist() if n else [] for x, n in zip(keys, sizes)]})
+                                    "bands": [x.tolist() if n else [] for x, n in zip(keys, sizes)],
+                                    "sketch": list(odd_sketch(hashes, owners, len(sets), SKETCH_BITS))})
 
     return sign
 
@@ -101,8 +104,9 @@ def cluster(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     Documents with the same set are one class, shown by its smallest doc_id. Each class has a one-permutation signature
     of 288 bins, empty bins filled from full ones, in 48 bands of 6: a pair at 0.8 is missed by all with probability 5e-7. Each
     bucket gives a star: edges from its smallest document to the others. Linked pairs are joined to components; where a
-    bucket still holds several components, pairs between these that can be alike by size are compared as well, so no link
-    that a bucket shows is lost. All links are confirmed on the full sets.
+    bucket still holds several components, pairs between these are compared as well, but for those whose sizes and odd
+    sketches of 1024 bits show that they differ in too many shingles; no link that a bucket shows is lost. All links are
+    confirmed on the full sets.
 
     Null, empty and blank texts have no shingles and are their own component, kept. Repeated rows keep a row each. A doc_id
     is taken to name one text: of several, links are confirmed on the greatest. Rows with a null doc_id are compared with
@@ -112,8 +116,8 @@ def cluster(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     signed = land(base.mapInPandas(_signer(k), SIGNED), "signed")
     real = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = land(real.groupBy("low", "high").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size")), "classes")
-    reps = (real.join(classes.select("rep"), F.col("doc_id") == F.col("rep")).groupBy("rep")
-            .agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
+    reps = land(real.join(classes.select("rep"), F.col("doc_id") == F.col("rep")).groupBy("rep")
+            .agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "reps")
     members = reps.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     stars = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").drop("last")
     shared = land(members.join(stars, "bucket"), "buckets")
@@ -130,10 +134,9 @@ def cluster(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     # Buckets with several components: what the star left open.
     named = shared.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = named.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket")
-    open_ = land(named.join(split, "bucket").select("bucket", "rep", "n_shingles", "component"), "open")
+    open_ = land(named.join(split, "bucket").join(reps.select("rep", "sketch"), "rep").select("bucket", "rep", "n_shingles", "component", "sketch"), "open")
     x, y = open_.alias("x"), open_.alias("y")
-    rest = (x.join(y, F.expr("x.bucket = y.bucket AND x.component < y.component AND 100 * least(x.n_shingles, y.n_shingles) >= "
-                             f"{percent} * greatest(x.n_shingles, y.n_shingles)"))
+    rest = (x.join(y, F.expr("x.bucket = y.bucket AND x.component < y.component") & may_link("x", "y", "n_shingles", SKETCH_BITS, percent))
             .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
             .join(firsts, ["a", "b"], "left_anti"))
     more = land(confirm(rest, texts, k, percent), "more")

@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from markloom.llm import bpe, catalog, chat, fingerprint, langid, linededup, mixing, neardup, quality, secret_scan, warc
+from markloom.llm import bpe, catalog, chat, fingerprint, langid, linededup, minhash, mixing, neardup, quality, secret_scan, warc
 from markloom.llm.graph import components
 
 FOLDER = "/root/testdata/sf0.001"
@@ -362,3 +362,24 @@ def test_pipeline(spark, docs):
     assert all(taken[i] <= 3 * sizes[i] for i in taken) and abs(sum(taken.values()) / sum(sizes.values()) - 1) < 0.1
     ids = sorted((r.doc_id, hashlib.sha256(np.array(tokens(r.text), "<u4").tobytes()).hexdigest()) for r in out)
     assert sorted((r.doc_id, r.ids_sha256) for r in encoded.collect()) == ids
+
+
+def test_odd_sketch_bound(spark):
+    """The filter keeps every pair that is alike enough, whatever the sizes, and drops most that are not."""
+    draw, sets = np.random.default_rng(3), []
+    for n in (1, 2, 9, 40, 300, 3000):
+        whole = draw.integers(0, 2**63, 2 * n).astype(np.uint64)
+        sets += [np.unique(whole[:n + k]) for k in range(0, n, max(1, n // 12))] + [np.unique(draw.choice(whole, n, replace=False)) for _ in range(6)]
+    sets.append(np.empty(0, np.uint64))
+    owners = np.repeat(np.arange(len(sets)), [*map(len, sets)])
+    sketch = minhash.odd_sketch(np.concatenate(sets), owners, len(sets), 512)
+    df = spark.createDataFrame([(i, len(s), sketch[i].tolist()) for i, s in enumerate(sets)], "i int, n bigint, sketch array<bigint>")
+    pairs = df.alias("x").join(df.alias("y"), F.expr("x.i < y.i") & minhash.may_link("x", "y", "n", 512, 80))
+    kept = {(r[0], r[1]) for r in pairs.select("x.i", "y.i").collect()}
+    alike = set()
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            both = len(np.intersect1d(a, sets[j]))
+            if 100 * both >= 80 * (len(a) + len(sets[j]) - both) and len(a):
+                alike.add((i, j))
+    assert alike and alike <= kept and len(kept) < 0.3 * len(sets) * (len(sets) - 1) / 2
