@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from markloom.llm.common import SPACE, land
 from markloom.llm.graph import components
-from markloom.llm.minhash import bands, mix, signatures
+from markloom.llm.minhash import bands, may_link, mix, odd_sketch, signatures
 
 #: Characters of a shingle; the end of a line is padded by one less, so that every line has a shingle for each character.
 SHINGLE = 8
 PERCENT = 80
 BINS, ROWS = 64, 4
+SKETCH_BITS = 1024
 PAD = "\0" * (SHINGLE - 1)
 
 
@@ -26,6 +27,20 @@ def shingle_set(line: str) -> set[str]:
     return {padded[i:i + SHINGLE] for i in range(len(line))}
 
 
+def _shingle_hashes(part: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of some lines, and the place of the line of each."""
+    points = np.frombuffer((PAD.join(part) + PAD).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    h, step = mix(points + np.uint64(1)), 1
+    while step < SHINGLE:
+        h = h[:-step] * np.uint64(0x9E3779B97F4A7C15 + 2 * step) + h[step:]
+        step *= 2
+    sizes = np.array([*map(len, part)])
+    begins = np.cumsum(sizes + len(PAD)) - sizes - len(PAD)
+    owner = np.repeat(np.arange(len(part)), sizes)
+    at = np.arange(len(owner)) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
+    return mix(h[at]), owner
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Band keys of each line; a line that a batch has twice is worked on once."""
     with np.errstate(over="ignore"):
@@ -34,21 +49,29 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = b.column(1).take(pa.array(first)).to_pylist()
             for start in range(0, len(lines), 2000):
                 part = lines[start:start + 2000]
-                points = np.frombuffer((PAD.join(part) + PAD).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
-                h, step = mix(points + np.uint64(1)), 1
-                while step < SHINGLE:
-                    h = h[:-step] * np.uint64(0x9E3779B97F4A7C15 + 2 * step) + h[step:]
-                    step *= 2
-                sizes = np.array([*map(len, part)])
-                begins = np.cumsum(sizes + len(PAD)) - sizes - len(PAD)
-                owner = np.repeat(np.arange(len(part)), sizes)
-                at = np.arange(len(owner)) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
-                keys = bands(signatures(mix(h[at]), owner, len(part), BINS), ROWS)
+                hashes, owner = _shingle_hashes(part)
+                keys = bands(signatures(hashes, owner, len(part), BINS), ROWS)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(ids[start:start + 2000], keys.shape[1])), pa.array(keys.ravel())],
                     names=["id", "bucket"])
 
 
+def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The number of distinct shingles of each line and their odd sketch."""
+    with np.errstate(over="ignore"):
+        for b in batches:
+            for start in range(0, len(b), 2000):
+                part = b.iloc[start:start + 2000]
+                hashes, owner = _shingle_hashes(part["line"].tolist())
+                order = np.lexsort((hashes, owner))
+                hashes, owner = hashes[order], owner[order]
+                new = np.ones(len(owner), bool)
+                new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+                hashes, owner = hashes[new], owner[new]
+                yield pd.DataFrame({"id": part["id"], "size": np.bincount(owner, minlength=len(part)),
+                                    "sketch": list(odd_sketch(hashes, owner, len(part), SKETCH_BITS))})
+
+
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     last, own = None, set()
     for b in batches:
@@ -85,22 +108,38 @@ def line_links(docs: DataFrame) -> DataFrame:
     wanted = shared.select(F.col("id").alias("w")).distinct()
     texts = land(lines.join(wanted, F.col("id") == F.col("w"), "left_semi").groupBy("id").agg(F.first("line").alias("line")), "texts")
     linked = land(_confirm(firsts, texts), "links")
+    sketches = land(texts.mapInPandas(_sketches, "id bigint, size bigint, sketch array<bigint>"), "sketches")
+    # A second star in buckets that still hold several components, its centre drawn anew for each, then the pairs that are left.
+    y = _open(shared, linked, sketches)
+    centres = y.groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", "bucket")).alias("id"))
+    x = y.join(centres, ["bucket", "id"])
+    again = land(_confirm(_apart(x, y, "x.component != y.component"), texts), "again")
+    linked = linked.union(again)
+    y = _open(shared, linked, sketches)
+    return linked.union(land(_confirm(_apart(y, y, "x.component < y.component"), texts), "more"))
+
+
+def _open(shared: DataFrame, linked: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The members of the buckets with lines of several components, with their components and sketches."""
     named = (shared.join(components(linked).select(F.col("node").alias("id"), "component"), "id", "left")
              .withColumn("component", F.coalesce("component", "id")))
     split = named.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket")
-    open_ = land(named.join(split, "bucket").select("bucket", "id", "component"), "open")
-    rest = (open_.alias("x").join(open_.alias("y"), F.expr("x.bucket = y.bucket AND x.component < y.component"))
-            .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-            .join(firsts, ["a", "b"], "left_anti"))
-    return linked.union(land(_confirm(rest, texts), "more"))
+    return land(named.join(split, "bucket").select("bucket", "id", "component").join(sketches, "id"), "open")
+
+
+def _apart(x: DataFrame, y: DataFrame, order: str) -> DataFrame:
+    """Pairs (a, b) of a bucket from different components that may be alike."""
+    on = F.expr(f"x.bucket = y.bucket AND {order}") & may_link("x", "y", "size", SKETCH_BITS, PERCENT)
+    return x.alias("x").join(y.alias("y"), on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` with n_lines, removed (line numbers from 0) and the text without these lines.
 
     Lines are compared in lower case by the sets of their 8-character shingles: one-permutation signatures of 64 bins in 16
-    bands of 4 find a pair at 0.8 with probability 0.9998; each bucket gives a star of edges from its smallest line,
-    and pairs between the components that this leaves in a bucket; all are verified on the full sets. Of each component of
+    bands of 4 find a pair at 0.8 with probability 0.9998; each bucket gives a star of edges from its smallest line, one from
+    a drawn line if it then still holds several components, and pairs between those that it holds after both, but for those whose sizes and odd sketches of 1024 bits show
+    that they differ in too many shingles; all are verified on the full sets. Of each component of
     lines over all documents, exact copies included, the one with the smallest (doc_id, line number) stays.
 
     Lines without a word stay and are compared with nothing. Nulls: a null text stays null, with no lines; a null doc_id comes
