@@ -116,7 +116,10 @@ def line_links(docs: DataFrame) -> DataFrame:
     again = land(_confirm(_apart(x, y, "x.component != y.component"), texts), "again")
     linked = linked.union(again)
     y = _open(shared, linked, sketches)
-    return linked.union(land(_confirm(_apart(y, y, "x.component < y.component"), texts), "more"))
+    # A pair that shares several buckets leaves the join from the least of them alone.
+    held = y.groupBy("id").agg(F.sort_array(F.collect_set("bucket")).alias("held"))
+    y = land(y.join(held, "id"), "held")
+    return linked.union(land(_confirm(_apart(y, y, "x.component < y.component", once=True), texts), "more"))
 
 
 def _open(shared: DataFrame, linked: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -127,9 +130,11 @@ def _open(shared: DataFrame, linked: DataFrame, sketches: DataFrame) -> DataFram
     return land(named.join(split, "bucket").select("bucket", "id", "component").join(sketches, "id"), "open")
 
 
-def _apart(x: DataFrame, y: DataFrame, order: str) -> DataFrame:
-    """Pairs (a, b) of a bucket from different components that may be alike."""
+def _apart(x: DataFrame, y: DataFrame, order: str, once: bool = False) -> DataFrame:
+    """Pairs (a, b) of a bucket from different components that may be alike; ``once``: from the least bucket that both hold."""
     on = F.expr(f"x.bucket = y.bucket AND {order}") & may_link("x", "y", "size", SKETCH_BITS, PERCENT)
+    if once:
+        on = on & (F.array_min(F.array_intersect("x.held", "y.held")) == F.col("x.bucket"))
     return x.alias("x").join(y.alias("y"), on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
