@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from markloom.llm.common import SPACE, land, let, words
 
-#: A line is boilerplate of a host if more than this share of its documents, and at least so many, have it.
-MOST_SHARE = 0.05
-LEAST_DOCS = 20
+#: A line is boilerplate of a host if more than so many of its distinct documents have it, however large the host is.
+MOST_DOCS = 10
 #: A document is depleted if less than this share of its words is left.
 LEAST_LEFT = 0.5
 LEAST_WORDS = 50
@@ -51,23 +50,21 @@ def _lines(text: Column) -> Column:
     return F.transform(with_word, lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.regexp_count(x, F.lit(f"[^{SPACE}]+")).alias("words")))
 
 
-def frequent_lines(lines: DataFrame, share: float, least: int) -> DataFrame:
-    """(source, line): hashes of the lines above the limit of their host. Documents with the same text count once, as
+def frequent_lines(lines: DataFrame, most: int) -> DataFrame:
+    """(source, line): hashes of the lines that more than ``most`` documents of their host have. Documents with the same text count once, as
     copies are for the near-duplicate stages to judge."""
     once = lines.groupBy("source", "same").agg(F.first("lines.line").alias("lines"))
-    counts = once.groupBy("source").agg(F.count("*").alias("docs"))
     seen = once.select("source", F.explode(F.array_distinct("lines")).alias("line")).groupBy("source", "line").agg(F.count("*").alias("n"))
-    limits = counts.select(F.col("source").alias("s"), (F.col("docs") * share).alias("limit"))
-    return seen.where(F.col("n") > least).join(limits, F.expr("source <=> s")).where("n > limit").select("source", "line")
+    return seen.where(F.col("n") > most).select("source", "line")
 
 
-def judge(docs: DataFrame, share: float = MOST_SHARE, least: int = LEAST_DOCS) -> DataFrame:
+def judge(docs: DataFrame, most: int = MOST_DOCS) -> DataFrame:
     """The columns of ``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_words_left,
     removed (hashes of the lines to go) and kept.
 
     Base rules: at least 50 words, and not more than half of them in repeated windows of three. Method: lines that more
-    than 5 % and over 20 of the distinct documents of the host (``source``) have are removed; a document with under half of its
-    words left is rejected. Nulls: a null text has no words and fails; null sources are one host; null and repeated doc_ids keep
+    than 10 distinct documents of the host (``source``) have are removed, by this one limit at every size of host; a document
+    with under half of its words left is rejected. Nulls: a null text has no words and fails; null sources are one host; null and repeated doc_ids keep
     a row each. Lines without a word are never counted or removed. An empty table gives no rows. Columns of ``docs`` with
     the names of results are replaced.
     """
@@ -75,7 +72,7 @@ def judge(docs: DataFrame, share: float = MOST_SHARE, least: int = LEAST_DOCS) -
     base = docs.drop(*made)
     key = F.xxhash64("doc_id", "source", "text")
     lines = land(base.select("source", key.alias("llm_row_key"), F.xxhash64("text").alias("same"), _lines(F.coalesce("text", F.lit(""))).alias("lines")), "lines")
-    frequent = frequent_lines(lines, share, least)
+    frequent = frequent_lines(lines, most)
     hits = (lines.select("source", "llm_row_key", F.explode(F.array_distinct("lines.line")).alias("line"))
             .join(frequent.select(F.col("source").alias("s"), F.col("line").alias("l")), F.expr("source <=> s AND line = l"))
             .groupBy("llm_row_key").agg(F.collect_set("line").alias("removed")))

@@ -337,6 +337,17 @@ def test_quality_lines(spark):
     assert clean[1] == body(1, 70) and 0 not in clean and clean[100] == rows[-1][1]
 
 
+def test_quality_lines_by_size_of_host(spark):
+    """One limit for all hosts: a line in 20 of 20 texts of a small host goes, so does one in 30 of 1000 of a large one; one in 10 stays."""
+    name = lambda i: "".join("abcdefghij"[int(x)] for x in str(i))
+    body = lambda host, i: " ".join(f"{host}{name(i)}w{name(j)}" for j in range(60))
+    line = lambda host, i: "often seen here" if i < (20 if host == "small" else 30) else "seldom seen here" if i < 40 else f"own {name(i)}"
+    rows = [(n, f"{body(host, i)}\n{line(host, i)}", host) for n, (host, i) in enumerate([("small", i) for i in range(20)] + [("large", i) for i in range(1000)])]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert {i for i, r in got.items() if r.removed} == {i for i, t, _ in rows if t.endswith("often seen here")}
+    assert {r.n_words_left for r in got.values() if r.removed} == {60} and all(r.kept for r in got.values())
+
+
 # pipeline
 
 @needs_tables
