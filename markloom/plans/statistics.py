@@ -138,12 +138,12 @@ def m07(t: Tables):
 
 @query("M08_item_importance")
 def m08(t: Tables):
-    """Questions as columns, one row per form with more than one answered question."""
+    """Questions as columns, one row per form with more than five answered questions."""
     value = F.when(c("outcome") == "Yes", 1.0).when(c("outcome") == "No", 0.0)
     wide = t.answers.groupBy("form_id").pivot("qno", list(range(1, 8))).agg(F.avg(value))
     wide = wide.toDF("form_id", *[f"MC{i}" for i in range(1, 8)])
-    totals = t.form_counts.filter("n_yes + n_no > 1").select("form_id", S.percent_yes(c("n_yes"), c("n_no")).alias("pct"))
-    return MD.forest_importance(wide.join(totals, "form_id"), "form_id", [f"MC{i}" for i in range(1, 8)], "pct", trees=20)
+    totals = t.form_counts.filter("n_yes + n_no > 5").select("form_id", S.percent_yes(c("n_yes"), c("n_no")).alias("pct"))
+    return MD.forest_importance(wide.join(totals, "form_id"), "form_id", [f"MC{i}" for i in range(1, 8)], "pct")
 
 
 @query("M09_straight_line", """
@@ -256,7 +256,7 @@ def m16(t: Tables):
 
 @query("M17_elbow")
 def m17(t: Tables):
-    return MD.elbow(t["embeddings"], "embedding", [1, 2, 4, 8])
+    return MD.elbow(t["embeddings"], "embedding", list(range(1, 21)))
 
 
 @query("M17_total_spread", """
@@ -269,7 +269,7 @@ def m17b(t: Tables):
 
 @query("M18_topics")
 def m18(t: Tables):
-    return MD.topics(t["conversations"], "text", n_topics=10, n_words=10, passes=5, stop_words=STOP)
+    return MD.topics(t["conversations"], "text", n_topics=10, n_words=10, stop_words=STOP)
 
 
 @query("M19_common_phrases", WORDS_SQL.replace("SELECT doc_id, unnest(list_filter(", "SELECT doc_id, list_filter(").replace(", lambda w: w <> '')) AS word FROM documents),",
