@@ -22,10 +22,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest doc_id, its first row if the id repeats."""
-    keep = neardup.cluster(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    one = docs.where("doc_id IS NOT NULL").join(keep, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    """One row of each group: that with the smallest doc_id, null last. Rows are compared by themselves, whatever their ids: an
+    id may name several texts, and of rows that are equal in all columns one stays."""
+    keyed = docs.withColumn("llm_row_key", F.xxhash64(*docs.columns))
+    found = neardup.cluster(keyed.select(F.col("llm_row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("llm_row_key"), "component_id")
+    ids = keyed.select("llm_row_key", "doc_id").distinct().join(found.distinct(), "llm_row_key")
+    keep = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "llm_row_key"))["llm_row_key"].alias("llm_row_key"))
+    return keyed.join(keep, "llm_row_key", "left_semi").dropDuplicates(["llm_row_key"]).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,7 +75,8 @@ class Mix:
     slots: DataFrame
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, shards: int = SHARDS, seed: int = 1) -> Mix:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, shards: int = SHARDS, seed: int = 1,
+        key: Column | None = None) -> Mix:
     """Draw the blocks of a mix of all documents by source.
 
     Each source's documents are packed end to end and cut into blocks of ``block`` words (the last may be shorter).
@@ -88,7 +89,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
     driver: their number is taken to be small (thousands), as it is the number of weights; documents never are.
     """
     spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("llm_doc_key"))
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), (F.xxhash64("doc_id", "text") if key is None else key).alias("llm_doc_key"))
     sized = land(sized, "sizes")
     # Sizes are summed within pieces of each source, then over the pieces: no source meets in one task.
     rows = sized.count()
@@ -155,18 +156,20 @@ def taken_words(m: Mix, block: int = BLOCK) -> DataFrame:
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, seed: int = 1) -> DataFrame:
     """The mix as documents: for each pass, the words that it takes of a document, as one row with the columns of ``docs``.
 
+    Of rows that are equal in all columns, each has a place in its source's stream and gives the words taken there, as one of them.
     White space before a word stays with it. Texts without a word are in no block and are not in the mix. n_chars, where
     there is such a column, is counted anew.
     """
-    m = mix(docs, weights, block, seed=seed)
+    key = F.xxhash64(*docs.columns)
+    m = mix(docs, weights, block, seed=seed, key=key)
     slots = m.slots.select(F.col("source").alias("s"), F.col("block").alias("b"), "pass").hint("merge")
-    runs = (_pieces(m.places.distinct(), block).join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-            .groupBy("doc_id", "llm_doc_key", "pass").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("runs")))
+    runs = (_pieces(m.places, block).join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+            .groupBy("llm_doc_key", "source", "offset", "pass").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("runs")))
     all_words = F.regexp_extract_all("text", F.lit(f"[{SPACE}]*[^{SPACE}]+"), F.lit(0))
     cut = let(all_words, lambda w: F.concat_ws("", F.flatten(F.transform("runs", lambda r: F.slice(
         w, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int"))))))
-    keyed = docs.withColumn("llm_doc_key", F.xxhash64("doc_id", "text"))
-    out = (keyed.alias("d").join(runs.alias("r"), F.expr("d.doc_id <=> r.doc_id AND d.llm_doc_key = r.llm_doc_key"))
+    keyed = docs.withColumn("llm_doc_key", key).dropDuplicates(["llm_doc_key"])
+    out = (keyed.alias("d").join(runs.alias("r"), F.expr("d.llm_doc_key = r.llm_doc_key"))
            .select("d.*", "r.runs").withColumn("text", cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))

@@ -375,6 +375,52 @@ def test_pipeline(spark, docs):
     assert sorted((r.doc_id, r.ids_sha256) for r in encoded.collect()) == ids
 
 
+def test_pipeline_near_dedup_of_rows(spark):
+    """One row of each group, whatever the ids: an id with two texts, rows without an id, equal rows."""
+    one, two, three = (" ".join(f"{x}{j}" for j in range(60)) for x in "xyz")
+    rows = [(1, one, "s"), (1, two, "s"), (2, two + " end", "s"), (None, one, "s"), (None, three, "s"), (None, three + " end", "s"), (4, "", "s"), (5, None, "s")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for d in (df, df.union(df), df.union(df.withColumn("source", F.lit("t")))):
+        got = sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.near_dedup(spark, d, FOLDER).collect() if r.text)
+        assert got[1:] == sorted([(1, one), (1, two)]) and got[0][0] == 0 and got[0][1].startswith(three)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df.union(df), FOLDER).collect() if not r.text) == [4, 5]
+
+
+def test_mixed_documents_of_equal_rows(spark):
+    """Equal rows give no more words than the mix takes of all of them, and none more than three passes."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(10 + i)), "ab"[i % 2]) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    docs = df.union(df).union(df)
+    sources = mixing.mix(docs, block=4).sources.collect()
+    want = {r.source: r.target for r in sources}
+    got, each = dict.fromkeys(want, 0), {}
+    for r in mixing.mixed_documents(docs, block=4).collect():
+        n = len(brute.WORD.findall(r.text))
+        got[r.source] += n
+        each[r.doc_id] = each.get(r.doc_id, 0) + n
+    assert all(abs(got[s] - want[s]) <= 8 for s in want)
+    assert all(each.get(i, 0) <= 3 * 3 * (10 + i) for i in range(20))
+
+
+@needs_tables
+def test_pipeline_of_rows_given_twice(spark):
+    """Each stage on a table joined to itself: after near-dedup it is as if the rows had come once."""
+    once = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    states = []
+    for frame in (once, once.union(once)):
+        for _, stage in corpus_pipeline.STAGES[:3]:
+            frame = stage(spark, frame, FOLDER)
+        states.append(frame.cache())
+    assert sorted((r.doc_id, r.text) for r in states[0].collect()) == sorted((r.doc_id, r.text) for r in states[1].collect())
+    twice = states[0].union(states[0])
+    sizes = {r.doc_id: 2 * len(brute.WORD.findall(r.text)) for r in states[0].collect()}
+    mixed, taken = corpus_pipeline.source_mix(spark, twice, FOLDER).cache(), {}
+    assert corpus_pipeline.byte_bpe(spark, mixed, FOLDER).count() == mixed.count()
+    for r in mixed.collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + len(brute.WORD.findall(r.text))
+    assert all(n <= 3 * sizes[i] for i, n in taken.items()) and abs(sum(taken.values()) / sum(sizes.values()) - 1) < 0.1
+
+
 def test_odd_sketch_bound(spark):
     """The filter keeps every pair that is alike enough, whatever the sizes, and drops most that are not."""
     draw, sets = np.random.default_rng(3), []
