@@ -17,8 +17,8 @@ from markloom.session import landing_path
 #: Payloads below this many bytes are always written whole.
 LEAST_BYTES = 1000
 ROWS_PER_FILE = 20_000
-MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
-HEADER_BYTES = 65_536
+#: A record starts a file or follows the two line breaks of the one before, so no two candidates share a blank line.
+MAGIC = re.compile(rb"(?:\A|(?<=\r\n\r\n))WARC/1\.[01]\r\n")
 
 
 def _headers(kind: str, fields: list[tuple[str, Column]], length: Column) -> Column:
@@ -64,14 +64,15 @@ CANDIDATES = ("file string, offset bigint, successor bigint, page_id bigint, rec
 
 
 def _candidates(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Everything in a file that looks like the start of a record, with the offset at which the next must start."""
+    """Everything in a file that looks like the start of a record, with the offset at which the next must start, and a row
+    without a type for the end of the file."""
     number = lambda m: int(m[1]) if m else None
     for batch in files:
         for path, content in zip(batch["path"], batch["content"]):
             data = zlib.decompress(content, 31) if content[:2] == b"\x1f\x8b" else bytes(content)
             rows = []
             for m in MAGIC.finditer(data):
-                end = data.find(b"\r\n\r\n", m.start(), m.start() + HEADER_BYTES)
+                end = data.find(b"\r\n\r\n", m.start())
                 head = data[m.start():end + 2] if end >= 0 else b""
                 length = number(re.search(rb"\r\nContent-Length: (\d+)\r\n", head))
                 kind = re.search(rb"\r\nWARC-Type: (\w+)\r\n", head)
@@ -84,8 +85,9 @@ def _candidates(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                              kind[1].decode(), number(re.search(rb"\r\nWARC-Refers-To: <urn:page:(-?\d+)>", head)),
                              number(re.search(rb"\r\nWARC-Payload-Length: (\d+)", head)) if revisit else length,
                              (digest[1].decode() if digest else None) if revisit else hashlib.sha1(payload).hexdigest()))
+            rows.append((path, len(data), *[None] * 6))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in CANDIDATES.split(", ")])
-            yield out.astype({c: "Int64" for c in ("page_id", "refers_to", "payload_bytes")})
+            yield out.astype({c: "Int64" for c in ("successor", "page_id", "refers_to", "payload_bytes")})
 
 
 def reachable(edges: DataFrame) -> DataFrame:
@@ -110,14 +112,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives below ``path``: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Tasks list candidate records and their successors; only those on the chain from a file's start are records, so a record
-    inside a payload is not one. A chain ends at the first place without a candidate: a cut file gives the records
-    before the cut. Response digests and sizes are those of the payload as read; a revisit has those of its headers.
+    inside a payload is not one. A chain that does not reach the end of its file, as in a cut file, is an error. Response digests and sizes are those of the payload as read; a revisit has those of its headers.
     A file is held whole in a task, so archives should be of bounded size, as ``write`` makes them.
     """
     # One file in an Arrow batch at a time would do; Spark packs files of a task up to maxPartitionBytes.
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     found = land(files.mapInPandas(_candidates, CANDIDATES), "candidates")
-    return found.join(reachable(found), ["file", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    reached = reachable(found)
+    cut = found.where("record_type IS NULL").join(reached, ["file", "offset"], "left_anti").select("file").first()
+    if cut:
+        raise ValueError(f"no chain of records reaches the end of {cut.file}")
+    return found.where("record_type IS NOT NULL").join(reached, ["file", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -232,6 +232,20 @@ def test_warc_edges(spark):
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+def test_warc_long_url_and_cut_file(spark, tmp_path):
+    """Headers may be of any length; a file whose chain breaks off is refused."""
+    pages = [(i, "data:," + "u" * 200_000 if i == 3 else "http://a/WARC/1.1", f"page {i}") for i in range(8)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(1)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()}
+    assert got == brute.pages([(i, h) for i, _, h in pages])
+    whole = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    for name, data in (("cut", whole + whole[:-9]), ("other", b"no record")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(data)
+        with pytest.raises(ValueError, match="end of"):
+            warc.read(spark, str(tmp_path / name))
+
+
 # 7
 
 @needs_tables
