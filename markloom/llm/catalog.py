@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markloom.llm import bpe, chat, fingerprint, langid, linededup, mixing, neardup, quality, secret_scan, sql, warc
+from markloom.llm import bpe, chat, collocations, fingerprint, langid, linededup, mixing, neardup, quality, secret_scan, sql, toxicity, warc, whitening
 from markloom.llm.common import documents
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -68,7 +68,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
+    return out.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_byte_bpe, op2_source_mix, op3_minhash_near_dedup, op4_line_dedup, op5_fingerprints, op6_warc,
-    op7_chat_format, op8_language_id, op9_secret_scan, op10_quality_rules)}
+    op7_chat_format, op8_language_id, op9_secret_scan, op10_quality_rules, op11_collocations, op12_toxicity,
+    op13_embedding_whitening)}
 ORACLES: dict[str, str] = sql.ORACLES
