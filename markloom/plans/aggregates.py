@@ -266,13 +266,18 @@ def a28(t: Tables):
     return R.pivot_cells(joined, ["student_id", "segment"], "setting", ["Clinic", "Simulation"], F.max("x")).fillna("Not completed")
 
 
+#: Line numbers of the given orders.
+QUESTIONS = [1, 2, 3, 4, 5, 6, 7]
+
+
 @query("A29_unique_pivot", """
 , b AS (SELECT form_id, qno, max(level) AS level FROM ans GROUP BY ALL)
-SELECT form_id, max(level) FILTER (qno = 1) AS q1, max(level) FILTER (qno = 2) AS q2, max(level) FILTER (qno = 3) AS q3 FROM b WHERE qno <= 3 GROUP BY form_id
+SELECT form_id, """ + ", ".join(f"max(level) FILTER (qno = {q}) AS q{q}" for q in QUESTIONS) + """ FROM b GROUP BY form_id
 """)
 def a29(t: Tables):
-    best = t.answers.filter("qno <= 3").groupBy("form_id", "qno").agg(F.max("level").alias("level"))
-    return R.pivot_cells(best, ["form_id"], "qno", [1, 2, 3], F.first("level")).toDF("form_id", "q1", "q2", "q3")
+    """A column for each question that a form can have."""
+    best = t.answers.groupBy("form_id", "qno").agg(F.max("level").alias("level"))
+    return R.pivot_cells(best, ["form_id"], "qno", QUESTIONS, F.first("level")).toDF("form_id", *[f"q{q}" for q in QUESTIONS])
 
 
 @query("A29_repeated_cells", "SELECT form_id, qno, count(*) AS n_rows FROM ans GROUP BY ALL HAVING count(*) > 1")

@@ -128,12 +128,17 @@ def a44(t: Tables):
     return wide.withColumn("pct_operator", c("operator") * lit(100.0) / (c("operator") + c("assistant") + c("both_roles")))
 
 
-@query("A45_weekly_status", """
-SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'error') AS error FROM events GROUP BY ALL
+STATUSES = ["signup", "click", "error", "purchase", "view"]
+
+
+@query("A45_weekly_status", "SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in STATUSES) + """,
+  count(*) FILTER (event_type IS NULL OR event_type NOT IN (""" + ", ".join(f"'{k}'" for k in STATUSES) + """)) AS other FROM events GROUP BY ALL
 """)
 def a45(t: Tables):
-    weeks = t["events"].withColumn("week", s(D.week_start(c("ts"))))
-    return R.counts_by_value(weeks, ["week"], "event_type", ["click", "view", "error"], ["click", "view", "error"])
+    """All statuses of a week; one that is not listed counts as other."""
+    listed = F.when(c("event_type").isin(STATUSES), c("event_type")).otherwise("other")
+    weeks = t["events"].select(s(D.week_start(c("ts"))).alias("week"), listed.alias("event_type"))
+    return R.counts_by_value(weeks, ["week"], "event_type", [*STATUSES, "other"], [*STATUSES, "other"])
 
 
 @query("A46_question_answer_counts", """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations, permutations
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from markloom.operators import models as MD
 from markloom.operators import report as RP
 from markloom.operators import reshape as R
 from markloom.operators import similarity as SIM
+from markloom.operators import solver as SV
 from markloom.operators import stats as ST
 from markloom.operators import textstats as TX
 from markloom.plans.base import Tables, query, r6
@@ -122,7 +125,24 @@ def m05(t: Tables):
 
 @query("M06_type_two_anova")
 def m06(t: Tables):
-    return MD.type_two_anova(t.answers, ["grader", "item", "qno"], "level")
+    """Marker, student and item, each given the two others."""
+    rows = t.answers.select("form_id", "marker", "item", "level").join(t.forms.select("form_id", "student_id"), "form_id")
+    return SV.type_two_anova(rows, ["marker", "student_id", "item"], "level")
+
+
+@query("M06_two_factor_anova", """
+, g AS (SELECT item, count(*) AS n, avg(level) AS my, avg((grader = 'supervisor')::INT) AS md FROM ans GROUP BY item),
+d AS (SELECT sum((level - my) * ((grader = 'supervisor')::INT - md)) AS dy, sum(((grader = 'supervisor')::INT - md) ** 2) AS dd, sum((level - my) ** 2) AS within_item, count(*) AS n FROM ans JOIN g USING (item)),
+w AS (SELECT sum((level - m) ** 2) AS within_grader FROM ans JOIN (SELECT grader, avg(level) AS m FROM ans GROUP BY grader) USING (grader)),
+k AS (SELECT count(DISTINCT item) - 1 AS items FROM ans),
+s AS (SELECT dy * dy / dd AS grader, within_item - dy * dy / dd AS rest, within_grader - (within_item - dy * dy / dd) AS item, n - 2 - items AS dof, items FROM d, w, k)
+SELECT 'grader' AS factor, round(grader, 6) AS sum_sq, 1e0 AS df, round(grader / (rest / dof), 6) AS f FROM s
+UNION ALL SELECT 'item', round(item, 6), items, round(item / items / (rest / dof), 6) FROM s
+UNION ALL SELECT 'Residual', round(rest, 6), dof, NULL FROM s
+""")
+def m06b(t: Tables):
+    out = SV.type_two_anova(t.answers, ["grader", "item"], "level")
+    return out.select("factor", r6(c("sum_sq")).alias("sum_sq"), "df", r6(c("f")).alias("f"))
 
 
 @query("M07_variance_shares", """
@@ -136,6 +156,49 @@ def m07(t: Tables):
     return out.withColumns({"share": F.round("share", 8), "f": r6(c("f"))})
 
 
+FACTORS = ["marker", "student_id", "item"]
+FORMS_SQL = ", m AS (SELECT *, level - avg(level) OVER () AS y FROM mk), n AS (SELECT count(*) AS n FROM m)\n" + "".join(
+    f", c_{f} AS (SELECT {f}, count(*) AS n, sum(y) AS s FROM m GROUP BY {f})\n" for f in FACTORS) + ", q AS (\n" + "\nUNION ALL ".join(
+    [f"SELECT '{f}' AS form, '{g}' AS of, (SELECT sum(p.n * p.n / c.n::DOUBLE) FROM (SELECT {', '.join(dict.fromkeys([f, g]))}, count(*) AS n FROM m GROUP BY ALL) p JOIN c_{f} c USING ({f})) AS coefficient, "
+     f"(SELECT sum(s * s / n) FROM c_{f}) AS square" for f in FACTORS for g in FACTORS]
+    + [f"SELECT '{f}', 'rows', (SELECT count(*) FROM c_{f})::DOUBLE, (SELECT sum(s * s / n) FROM c_{f})" for f in FACTORS]
+    + [f"SELECT 'mean', '{f}', (SELECT sum(c.n * c.n) / (SELECT n FROM n)::DOUBLE FROM c_{f} c), 0" for f in FACTORS] + ["SELECT 'mean', 'rows', 1, 0"]
+    + [f"SELECT 'rows', '{g}', (SELECT n FROM n), (SELECT sum(y * y) FROM m)" for g in [*FACTORS, "rows"]]) + ")\n"
+
+
+def _determinant(cells: list[list[str]]) -> str:
+    """A determinant written out in SQL."""
+    terms = []
+    for order in permutations(range(len(cells))):
+        odd = sum(a > b for a, b in combinations(order, 2)) % 2
+        terms.append(("-" if odd else "+") + " * ".join(cells[i][j] for i, j in enumerate(order)))
+    return "(" + " ".join(terms) + ")"
+
+
+def _components_sql() -> str:
+    names = [*FACTORS, "rows"]
+    picked = [f"max(coefficient) FILTER (form = '{f}' AND of = '{g}') AS k{i}{j}" for i, f in enumerate([*names, "mean"]) for j, g in enumerate(names)]
+    picked += [f"max(square) FILTER (form = '{f}') AS s{i}" for i, f in enumerate(names)]
+    rows = [[f"(k{i}{j} - k{len(names)}{j})" for j in range(len(names))] for i in range(len(names))]
+    solved = [_determinant([[f"s{i}" if j == g else x for j, x in enumerate(r)] for i, r in enumerate(rows)]) for g in range(len(names))]
+    shown = "\nUNION ALL ".join(f"SELECT '{n if n != 'rows' else 'Residual'}' AS component, {solved[j]} / {_determinant(rows)} AS variance FROM w" for j, n in enumerate(names))
+    return FORMS_SQL + f", w AS (SELECT {', '.join(picked)} FROM q), v AS ({shown})\n" + (
+        "SELECT component, round(variance, 6) AS variance, round(greatest(variance, 0) / sum(greatest(variance, 0)) OVER (), 6) AS share FROM v")
+
+
+@query("M07_quadratic_forms", FORMS_SQL + "SELECT form, of, round(coefficient, 6) AS coefficient, round(square, 6) AS square FROM q")
+def m07f(t: Tables):
+    """What the variance components rest on."""
+    rows = t.answers.select("form_id", "marker", "item", "level").join(t.forms.select("form_id", "student_id"), "form_id")
+    return SV.quadratic_forms(rows, FACTORS, "level").withColumns({k: r6(c(k)) for k in ("coefficient", "square")})
+
+
+@query("M07_variance_components", _components_sql())
+def m07c(t: Tables):
+    rows = t.answers.select("form_id", "marker", "item", "level").join(t.forms.select("form_id", "student_id"), "form_id")
+    return SV.variance_components(rows, FACTORS, "level").withColumns({k: r6(c(k)) for k in ("variance", "share")})
+
+
 @query("M08_item_importance")
 def m08(t: Tables):
     """Questions as columns, one row per form with more than five answered questions."""

@@ -164,13 +164,18 @@ def t05(t: Tables):
         F.min_by("qno", F.struct("score", "qno")).alias("worst_question"))
 
 
-@query("T06_columns_by_date", """
-SELECT item, count(*) FILTER (year(day) = 1998) AS y1998, count(*) FILTER (year(day) = 1999) AS y1999, count(*) FILTER (year(day) = 2000) AS y2000 FROM ans GROUP BY item
+YEARS = list(range(1992, 2008))
+
+
+@query("T06_columns_by_date", "SELECT item, " + ", ".join(f"count(*) FILTER (year(day) = {y}) AS y{y}" for y in YEARS) + """,
+  count(*) FILTER (year(day) < 1992 OR year(day) > 2007 OR day IS NULL) AS other FROM ans GROUP BY item
 """)
 def t06(t: Tables):
-    names = sorted(["y2000", "y1999", "y1998"], key=lambda n: int(n[1:]))
-    years = t.answers.withColumn("col", F.concat(lit("y"), s(F.year("day"))))
-    return years.groupBy("item").pivot("col", names).count().fillna(0)
+    """A column for each year of the form's calendar, in the order of the dates in their names, and one for all other days."""
+    names = sorted((f"y{y}" for y in reversed(YEARS)), key=lambda n: int(n[1:]))
+    year = F.year("day")
+    years = t.answers.withColumn("col", F.when(year.between(YEARS[0], YEARS[-1]), F.concat(lit("y"), s(year))).otherwise("other"))
+    return years.groupBy("item").pivot("col", [*names, "other"]).count().fillna(0)
 
 
 @query("T07_detail_without_total", "SELECT item, count(*) AS n FROM ans GROUP BY item ORDER BY item DESC")

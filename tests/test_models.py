@@ -15,7 +15,7 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given table
 def fitted(monkeypatch):
     """Parameters of the estimators as they are made."""
     seen = []
-    for name in ("LDA", "RandomForestRegressor", "LinearRegression"):
+    for name in ("LDA", "RandomForestRegressor"):
         made = getattr(MD, name)
         monkeypatch.setattr(MD, name, lambda made=made, name=name, **a: seen.append((name, a)) or made(**a))
     return seen
@@ -43,9 +43,3 @@ def test_importance_by_hundred_trees_of_forms_with_six_answers(spark, fitted, mo
     answers = spark.read.parquet(f"{FOLDER}/lineitem.parquet").where("l_discount >= 0.005 AND l_returnflag IN ('A', 'R')")
     want = {r[0] for r in answers.groupBy("l_orderkey").count().where("count > 5").select("l_orderkey").collect()}
     assert want and {r.form_id for r in rows[0].collect()} == want
-
-
-def test_anova_solves_the_normal_equations(spark, fitted):
-    df = spark.createDataFrame([(a, b, float(a * 2 + b + (a * b == 2))) for a in range(3) for b in range(4)], "a int, b int, y double")
-    MD.type_two_anova(df, ["a", "b"], "y").collect()
-    assert fitted and all(a.get("solver") == "normal" for _, a in fitted)

@@ -12,6 +12,7 @@ from markloom.operators import joins as JN
 from markloom.operators import models as MD
 from markloom.operators import ordering as ORD
 from markloom.operators import similarity as SIM
+from markloom.operators import solver as SV
 from markloom.operators import stats as ST
 from markloom.operators import textstats as TX
 from markloom.plans.statistics import weight_search
@@ -192,7 +193,7 @@ def test_type_two_anova_equals_least_squares(spark):
         x, y = np.stack(cols, 1), np.array([r[2] for r in rows])
         return float(((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum())
 
-    got = {r["factor"]: r["sum_sq"] for r in MD.type_two_anova(df, ["p", "q"], "v").collect()}
+    got = {r["factor"]: r["sum_sq"] for r in SV.type_two_anova(df, ["p", "q"], "v").collect()}
     full = rss([0, 1])
     assert got["p"] == pytest.approx(rss([1]) - full, rel=1e-6)
     assert got["q"] == pytest.approx(rss([0]) - full, rel=1e-6)
