@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,7 +48,9 @@ _STRETCH = re.compile(r"(.)\1{2,}")
 def plain(token: str) -> tuple[str, bool, bool]:
     """A token in lower case without marks around it; letters for digits and marks inside it, and runs of three or more letters as
     one. Also whether it was disguised and whether it was stretched."""
-    word = _OUTER.sub("", token.lower())
+    word = token.lower()
+    if not word.isalpha():
+        word = _OUTER.sub("", word)
     disguised = stretched = False
     if not word.isalpha() and any(map(str.isalpha, word)):
         core = _INNER.sub("", _OUTER.sub("", token.lower().translate(DISGUISE)) if not word.isalpha() else word)
@@ -108,16 +111,19 @@ def learn_lexicons(labelled: DataFrame, size: int = LEXICON) -> list[dict[str, f
 
 
 class _Words(dict):
-    """A token to the row of its facts: weight, term, address, capitals, disguised, stretched."""
+    """A token to the row of its facts: its weight, whether it is an address, in capitals, disguised, stretched (bits), and the number of its term."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.facts = lexicon, []
+        self.lexicon, self.terms = lexicon, {}
+        self.weight, self.marks, self.term = array("d"), array("b"), array("l")
 
     def __missing__(self, token: str) -> int:
         word, disguised, stretched = plain(token)
         weight = max((self.lexicon.get(t, 0.0) for t in terms(word)), default=0.0)
-        self.facts.append((weight, word if weight else "", word in ADDRESS, len(word) > 1 and token.upper() == token and token.lower() != token, disguised, stretched))
-        self[token] = out = len(self.facts) - 1
+        self.weight.append(weight)
+        self.marks.append((word in ADDRESS) | (len(word) > 1 and token.isupper()) << 1 | disguised << 2 | stretched << 3)
+        self.term.append(self.terms.setdefault(word, len(self.terms)) if weight else -1)
+        self[token] = out = len(self.weight) - 1
         return out
 
 
@@ -138,21 +144,20 @@ def features(text: str | None, words: _Words) -> list[float]:
     if not tokens:
         return [0.0] * len(FEATURES)
     rows = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
-    distinct, counts = np.unique(rows, return_counts=True)
-    facts = [words.facts[i] for i in distinct]
-    weight, address, capitals, disguised, stretched = (np.array([f[i] for f in facts], float) for i in (0, 2, 3, 4, 5))
+    weight, marks, term = (np.frombuffer(x, kind)[rows] for x, kind in ((words.weight, np.float64), (words.marks, np.int8), (words.term, np.int64)))
     n, hit = len(tokens), weight > 0
-    top = np.sort(weight)[::-1][:3].tolist() + [0.0, 0.0]
+    own, first = np.unique(term[hit], return_index=True)
+    top = np.sort(weight[hit][first])[::-1][:3].tolist() + [0.0] * 3
     near = 0.0
-    if hit.any() and address.any():
-        at, to = np.flatnonzero(np.isin(rows, distinct[hit])), np.flatnonzero(np.isin(rows, distinct[address > 0]))
+    at, to = np.flatnonzero(hit), np.flatnonzero(marks & 1)
+    if len(at) and len(to):
         near = float((_distance(at, to) <= NEAR).mean())
     raw = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256)
     size = raw.sum()
-    named = {f[1] for f in facts if f[0]}
-    return [float(np.log1p(n)), float(counts[hit].sum() / n), float((weight * counts).sum() / n), *top[:3], float(np.log1p(len(named))), float((address * counts).sum() / n),
-            near, raw[65:91].sum() / size, float((capitals * counts).sum() / n), *(raw[m].sum() / size for m in _MARKS.values()),
-            float((disguised * counts).sum() / n), float((stretched * counts).sum() / n), float(((disguised + stretched > 0) & hit).sum() / max(1, hit.sum()))]
+    share = [float(np.count_nonzero(marks & bit) / n) for bit in (1, 2, 4, 8)]
+    return [float(np.log1p(n)), float(len(at) / n), float(weight.sum() / n), *top[:3], float(np.log1p(len(own))), share[0],
+            near, raw[65:91].sum() / size, share[1], *(raw[m].sum() / size for m in _MARKS.values()),
+            share[2], share[3], float(np.count_nonzero(marks[at] & 12) / max(1, len(at)))]
 
 
 def _extractor(lexicon: dict[str, float]):
@@ -193,14 +198,12 @@ def _has_both(rows: DataFrame) -> bool:
     return r.a == 0 and r.b == 1
 
 
-def learn(labelled: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 1) -> Model:
+def learn(sample: DataFrame, seed: int = 1) -> Model:
     """Learn from rows (fold, text, toxic): the lexicon and the trees from folds other than 1, the steps of the
-    calibration from fold 1, or from all where fold 1 has labels of one kind only. ``fit_rows`` bounds the rows in expectation."""
-    facts = labelled.agg(F.count("*").alias("n"), F.avg("toxic").alias("prior")).collect()[0]
+    calibration from fold 1, or from all where fold 1 has labels of one kind only."""
+    facts = sample.agg(F.count("*").alias("n"), F.avg("toxic").alias("prior")).collect()[0]
     if not facts.n or facts.prior in (0.0, 1.0):
         return Model(facts.prior or 0.0, {})
-    share = int(min(1.0, fit_rows / facts.n) * 1_000_000)
-    sample = labelled.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000)) < share)
     sample = sample.withColumn("half", F.pmod(F.xxhash64("text", F.lit(seed + 1)), F.lit(2)).cast("int"))
     taught = sample.where("fold != 1")
     *others, lexicon = learn_lexicons(taught)
@@ -232,7 +235,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
     Labels are learned only from documents whose crc32(doc_id as text) mod 5 is not 0. Terms of a learned lexicon are words and
     beginnings of words; the features are their density and weights, how near they are to words that address the
     reader, and rates of capitals, marks, symbols and disguised or stretched words. Boosted trees over these are calibrated by
-    isotonic regression on a fold that taught nothing else.
+    isotonic regression on a fold that taught nothing else. ``fit_rows`` bounds the labels that are used, in expectation.
 
     Nulls: a null text is an empty one and scored like it; a null doc_id has no label and is not held out; null labels are left
     out. Of several labels of a document the greatest counts. Repeated rows keep a row each; other columns are ignored. Without
@@ -240,6 +243,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
     """
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     one = labels.where("toxic IN (0, 1)").groupBy(F.col("doc_id").alias("of")).agg(F.max("toxic").cast("int").alias("toxic"))
-    labelled = docs.select("doc_id", "text").where(fold != 0).join(one, F.col("doc_id") == F.col("of")).select(fold.cast("int").alias("fold"), "text", "toxic")
-    model = learn(land(labelled, "labelled"), fit_rows)
+    # At most some fit_rows labels are drawn, so they are small enough to be sent to the texts.
+    teach = one.where(F.crc32(F.col("of").cast("string")) % 5 != 0)
+    share = min(1.0, fit_rows / max(1, teach.count()))
+    drawn = teach.where(F.pmod(F.xxhash64("of"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("of")).select(fold.cast("int").alias("fold"), "text", "toxic")
+    model = learn(sample)
     return score(docs.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "text"), model)

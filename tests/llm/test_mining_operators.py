@@ -82,13 +82,19 @@ def test_index_intervals():
     """Counts and places of all pairs and triples in a random text, from the index of both directions."""
     text = np.concatenate([[0], np.random.default_rng(3).integers(0, 4, 400), [0]]).astype(np.int32)
     text, _ = collocations.compact(text)
-    symbols, at = np.unique(text, return_index=True)
-    at = at[symbols > 0]
     for depth in (1, 2, 3):
-        want = Counter(tuple(text[i:i + depth + 1].tolist()) for i in range(len(text) - depth) if 0 not in text[i:i + depth + 1])
-        _, _, count, place, left = collocations.longer_phrases(text, depth, at)
-        assert {tuple(left[p:p + depth + 1].tolist()): c for p, c in zip(place, count)} == want
-        text, at = left, place
+        places = {i: tuple(text[i:i + depth + 1].tolist()) for i in range(len(text) - depth) if 0 not in text[i:i + depth + 1]}
+        given = np.array([i for i in range(len(text) - depth + 1) if 0 not in text[i:i + depth]])
+        place, count = collocations.longer_phrases(text, depth, given)
+        assert {places[p]: c for p, c in zip(place, count)} == Counter(places.values())
+
+
+def test_filter_has_every_phrase(spark):
+    rows = [(i * 7, i << 40) for i in range(3000)]
+    bits = collocations.phrase_filter(spark.createDataFrame(rows, "w0 bigint, w1 bigint"))
+    with np.errstate(over="ignore"):
+        at = collocations.bits_of([np.array(c) for c in zip(*rows)])
+    assert (bits[at >> 3] >> (at & 7) & 1).all() and np.unpackbits(bits).sum() == len(np.unique(at))
 
 
 # 12
