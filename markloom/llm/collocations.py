@@ -6,20 +6,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from markloom.llm.common import land
+from markloom.llm.minhash import mix
 
 #: Characters that end a piece.
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 MOST_WORDS = 5
 LEAST_COUNT = 100
 #: Words of a shard; a text is never cut, so a shard may be longer by one text.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 #: Bytes of texts that are cut into words at once.
 CHUNK_BYTES = 1_000_000
+#: Bits of the filter of known phrases.
+FILTER_BITS = 1 << 26
 #: One byte to one: A-Z to lower case, tabs to blanks, the end of a piece to a line feed.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + BREAKS.encode(), b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(BREAKS))
 
@@ -91,12 +95,14 @@ def stable_order(keys: np.ndarray) -> np.ndarray:
     while high:
         order = order[np.argsort((keys[order] >> shift & 0xFFFF).astype(np.uint16), kind="stable")]
         high, shift = high >> 16, shift + 16
-    return order
+    return order.astype(np.int32)
 
 
 def expand(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places of all intervals, one after the other."""
-    return np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    out = np.repeat((lo - (np.cumsum(size) - size)).astype(np.int32), size)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 class Half:
@@ -107,13 +113,13 @@ class Half:
 
     def __init__(self, text: np.ndarray, depth: int):
         self.text, self.depth = np.concatenate([text, np.zeros(depth, text.dtype)]), depth
-        self.suffixes = np.arange(len(text))
+        self.suffixes = np.arange(len(text), dtype=np.int32)
         for offset in reversed(range(depth)):
             self.suffixes = self.suffixes[stable_order(self.text[self.suffixes + offset])]
         self.first = text[self.suffixes]
         before = stable_order(text[self.suffixes - 1])  # the transform: the word before each suffix
         #: Where the suffix that is one word longer stands: the number of smaller words, and of equal ones before it.
-        self.longer = np.empty(len(text), np.int64)
+        self.longer = np.empty(len(text), np.int32)
         self.longer[before] = np.arange(len(text))
 
     def intervals(self, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +130,7 @@ class Half:
             word = self.text[self.suffixes + offset]
             new[1:] |= word[1:] != word[:-1]
         starts = np.flatnonzero(new)
-        place = np.empty(len(self.suffixes), np.int64)
+        place = np.empty(len(self.suffixes), np.int32)
         place[self.suffixes] = np.cumsum(new) - 1
         own = place[at]
         return starts[own], np.diff(np.append(starts, len(new)))[own]
@@ -132,8 +138,8 @@ class Half:
     def extend(self, lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All extensions of disjoint intervals by the word before: (interval, word, lo, size, how many suffixes of the interval
         have a smaller word before). Breaks count as word 0."""
-        owner = np.full(len(self.first), -1, np.int64)
-        owner[self.longer[expand(lo, size)]] = np.repeat(np.arange(len(lo)), size)
+        owner = np.full(len(self.first), -1, np.int32)
+        owner[self.longer[expand(lo, size)]] = np.repeat(np.arange(len(lo), dtype=np.int32), size)
         spot = np.flatnonzero(owner >= 0)
         group, word = owner[spot], self.first[spot]
         new = np.ones(len(spot), bool)
@@ -147,29 +153,24 @@ class Half:
         return group, word, start, count, smaller
 
 
-def longer_phrases(text: np.ndarray, depth: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Phrases of ``depth`` + 1 words of which both phrases of ``depth`` words are given, by a place ``at`` of each.
+def longer_phrases(text: np.ndarray, depth: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases of ``depth`` + 1 words of which both phrases of ``depth`` words are given, by places ``at`` where given ones begin, one or more of each.
 
     Intervals in the index of the text and in that of its reverse are kept together: an extension to the left is a step in the
-    one and narrows the other. Phrases that a left extension of a given phrase and a right extension of a given
-    phrase both reach are returned: (given phrase without the first word, first word, count, place in the new text), and the
-    new text, which has what these phrases cover.
+    one and narrows the other. Returns a place and the count of each phrase that a left extension of a given phrase and a right
+    extension of a given phrase both reach.
     """
     ahead, back = Half(text, depth + 1), Half(text[::-1], depth + 1)
     lo, size = ahead.intervals(at, depth)
-    back_lo, _ = back.intervals(len(text) - at - depth, depth)
-    suffix, word, start, count, _ = ahead.extend(lo, size)
+    lo, one = np.unique(lo, return_index=True)
+    size = size[one]
+    back_lo, _ = back.intervals(len(text) - at[one] - depth, depth)
+    _, word, start, count, _ = ahead.extend(lo, size)
     prefix, last, _, _, smaller = back.extend(back_lo, size)
     reached = np.zeros(len(text), bool)
     reached[(lo[prefix] + smaller)[last > 0]] = True
     keep = (word > 0) & reached[start]
-    suffix, word, start, count = suffix[keep], word[keep], start[keep], count[keep]
-    cover = np.zeros(len(text) + 1, np.int64)
-    begins = ahead.suffixes[expand(start, count)]
-    cover[begins] += 1  # a place begins one phrase of a length
-    np.subtract.at(cover, begins + depth + 1, 1)
-    left, place = compact(np.where(np.cumsum(cover[:-1]) > 0, text, 0))
-    return suffix, word, count, place[ahead.suffixes[start]], left
+    return ahead.suffixes[start[keep]], count[keep]
 
 
 def compact(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,89 +181,115 @@ def compact(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return text[keep], np.cumsum(keep) - 1
 
 
-OUT = "shard bigint, text binary, words binary, at bigint, first bigint, suffix bigint, n bigint"
+def bits_of(words: list[np.ndarray]) -> np.ndarray:
+    """The bit of a filter that stands for a phrase, from the numbers of its words."""
+    h = np.full(len(words[0]), len(words), np.uint64)
+    for w in words:
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64))
+    return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
-def _rows(shard: int, text: np.ndarray, words: np.ndarray, depth: int, at: np.ndarray, ids: np.ndarray) -> pa.Table:
-    """A row with the text for the next step, and one for each longer phrase."""
-    suffix, word, count, place, left = longer_phrases(text, depth, at)
-    n = len(suffix)
-    none = pa.nulls(n, pa.binary())
-    return pa.table({
-        "shard": pa.array(np.full(n + 1, shard), pa.int64()),
-        "text": pa.concat_arrays([pa.array([left.tobytes()], pa.binary()), none]),
-        "words": pa.concat_arrays([pa.array([words.tobytes()], pa.binary()), none]),
-        **{name: pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(x, pa.int64())])
-           for name, x in (("at", place), ("first", words[word]), ("suffix", ids[suffix]), ("n", count))}})
-
-
-def _empty() -> pa.Table:
-    return pa.table({c: pa.array([], pa.binary() if c in ("text", "words") else pa.int64()) for c in ("shard", "text", "words", "at", "first", "suffix", "n")})
-
-
-def _begin(shards: pa.Table, frequent: pa.Table) -> pa.Table:
-    """Frequent words are numbered from 1, others are breaks; then pairs of words."""
-    if not shards.num_rows or not frequent.num_rows:
-        return _empty()
-    text = np.frombuffer(shards["text"][0].as_buffer(), np.int32)
-    symbols = frequent["symbol"].to_numpy()
-    number = np.zeros(max(text.max(), symbols.max()) + 1, np.int32)
-    number[symbols] = np.arange(1, len(symbols) + 1)
-    text = np.concatenate([np.zeros(1, np.int32), number[text], np.zeros(1, np.int32)])
-    text[1:-1][(text[:-2] == 0) & (text[2:] == 0)] = 0  # a word alone has no phrase
-    text, _ = compact(text)
-    words = np.concatenate([[-1], frequent["id"].to_numpy()])
-    symbol, at = np.unique(text, return_index=True)
-    return _rows(shards["shard"][0].as_py(), text, words, 1, at[symbol > 0], words[symbol[symbol > 0]])
-
-
-def _go_on(depth: int):
-    def step(shards: pa.Table, frequent: pa.Table) -> pa.Table:
-        if not shards.num_rows or not frequent.num_rows:
-            return _empty()
-        text, words = np.frombuffer(shards["text"][0].as_buffer(), np.int32), np.frombuffer(shards["words"][0].as_buffer(), np.int64)
-        return _rows(shards["shard"][0].as_py(), text, words, depth, frequent["at"].to_numpy(), frequent["id"].to_numpy())
-
-    return step
-
-
-def _together(shards: DataFrame, rows: DataFrame, parts: int):
-    return shards.repartition(parts, "shard").groupBy("shard").cogroup(rows.withColumnRenamed("shard", "of").repartition(parts, "of").groupBy("of"))
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own = np.zeros(FILTER_BITS // 8, np.uint8)
+    with np.errstate(over="ignore"):
+        for b in batches:
+            at = bits_of([c.to_numpy() for c in b.columns])
+            np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    longs = own.view(np.int64)
+    full = np.flatnonzero(longs)
+    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(longs[full])], names=["place", "bits"])
+
+
+def phrase_filter(phrases: DataFrame) -> np.ndarray:
+    """A filter of fixed size that has the bit of every phrase (columns: the numbers of the words) and few others."""
+    found = phrases.mapInArrow(_mark, "place int, bits bigint").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[found["place"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def _number(shards: pa.Table, frequent: pa.Table) -> pa.Table:
+    """A shard with frequent words numbered from 1 and all others as breaks, and the number of each over all shards."""
+    text, words = np.zeros(1, np.int32), np.full(1, -1)
+    if shards.num_rows and frequent.num_rows:
+        raw = np.frombuffer(shards["text"][0].as_buffer(), np.int32)
+        symbols = frequent["symbol"].to_numpy()
+        number = np.zeros(max(raw.max(), symbols.max()) + 1, np.int32)
+        number[symbols] = np.arange(1, len(symbols) + 1)
+        text = np.concatenate([np.zeros(1, np.int32), number[raw], np.zeros(1, np.int32)])
+        text[1:-1][(text[:-2] == 0) & (text[2:] == 0)] = 0  # a word alone has no phrase
+        text, _ = compact(text)
+        words = np.concatenate([words, frequent["id"].to_numpy()])
+    return pa.table({"text": pa.array([text.tobytes()], pa.binary()), "words": pa.array([words.tobytes()], pa.binary())})
+
+
+def _extender(size: int, known: Broadcast | None):
+    """Counts of the phrases of ``size`` words in each shard, from those one word shorter that the filter lets pass."""
+    def begun(text: np.ndarray, words: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        last = len(text) - size + 2  # of all places, those where such a shorter phrase begins
+        parts = [text[i:last + i] for i in range(size - 1)]
+        at = np.flatnonzero(np.all([p > 0 for p in parts], axis=0))
+        bit = bits_of([words[p[at]] for p in parts])
+        return at[bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0]
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*(f"w{i}" for i in range(size)), "n"]
+        for b in batches:
+            for row in range(b.num_rows):
+                text, words = np.frombuffer(b.column(0)[row].as_buffer(), np.int32), np.frombuffer(b.column(1)[row].as_buffer(), np.int64)
+                symbols, at = np.unique(text, return_index=True)  # of all words a place is enough
+                at = at[symbols > 0]
+                if known is not None and len(at):
+                    with np.errstate(over="ignore"):
+                        at = begun(text, words, known.value)
+                    cover = np.zeros(len(text) + 1, np.int32)
+                    cover[at] += 1
+                    np.subtract.at(cover, at + size - 1, 1)
+                    text, place = compact(np.where(np.cumsum(cover[:-1]) > 0, text, 0))
+                    at = place[at]
+                if not len(at):
+                    continue
+                at, count = longer_phrases(text, size - 1, at)
+                for start in range(0, len(at), 200_000):
+                    part = at[start:start + 200_000]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(words[text[part + i]]) for i in range(size)), pa.array(count[start:start + 200_000], pa.int64())], names=names)
+
+    return extend
 
 
 def phrase_counts(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST_COUNT, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to ``most_words`` words that occur at least ``least`` times in a language, and the words of each language.
 
-    Returns (lang, size, phrase, f) and (lang, n). A task cuts texts into shards of some two million words. Each step extends,
+    Returns (lang, size, phrase, f) and (lang, n). A task cuts texts into shards of some million words. Each step extends,
     in every shard, the phrases that are frequent over all shards by a word to the left and to the right in a
     bidirectional index; counts are summed over shards. A phrase is as frequent as its parts at most, so nothing is lost.
-    Between steps a shard keeps only what its phrases cover. Keys are exact: the number of the first word and that of the
-    phrase after it.
+    The tasks of a step know the phrases of the step before by a filter of a fixed 8 MB, the only data that is broadcast: a phrase that it
+    lets pass wrongly costs work but is counted like any other. Keys are exact: the numbers of the words.
     """
     lang = F.coalesce("lang", F.lit("und")).alias("lang")
     shards = land(docs.select(lang, "text").mapInArrow(_cut(shard_words), SHARDS).select(F.monotonically_increasing_id().alias("shard"), "*"), "shards")
     parts = max(1, -(-shards.count() // 2))
     entries = shards.select("shard", F.posexplode("vocabulary").alias("place", "v")).select("shard", (F.col("place") + 1).alias("symbol"), "v.*")
     words = land(entries.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
-    numbered = F.monotonically_increasing_id().alias("id")
-    one = land(words.where(F.col("f") >= least).select(numbered, "lang", "word", "f"), "frequent")
-    found = [one.select("id", "lang", F.lit(1).alias("size"), F.col("word").alias("phrase"), "f")]
-    marked = entries.join(one.select("lang", "word", "id"), ["lang", "word"]).select("shard", "symbol", "id")
-    step = _together(shards.select("shard", "text"), marked, parts).applyInArrow(_begin, OUT)
+    one = land(words.where(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", "word", "f"), "frequent")
+    marked = entries.join(one.select("lang", "word", "id"), ["lang", "word"]).select(F.col("shard").alias("of"), "symbol", "id")
+    numbered = land(shards.select("shard", "text").repartition(parts, "shard").groupBy("shard")
+                    .cogroup(marked.repartition(parts, "of").groupBy("of")).applyInArrow(_number, "text binary, words binary"), "numbered")
+    found, known = [one.select(F.col("id").alias("w0"), "lang", F.col("word").alias("phrase"), "f")], None
+    begin = one.select(F.col("id").alias("w0"), "lang", "word")
     for size in range(2, most_words + 1):
-        rows = land(step, f"phrases-{size}")
-        local = rows.where("text IS NULL")
-        held = land(local.groupBy("first", "suffix").agg(F.sum("n").alias("f")).where(F.col("f") >= least).select(numbered, "first", "suffix", "f"), f"frequent-{size}")
-        begun = one.select(F.col("id").alias("first"), "lang", "word")
-        rest = found[-1].select(F.col("id").alias("suffix"), F.col("phrase").alias("rest"))
-        found.append(land(held.join(begun, "first").join(rest, "suffix").select(
-            "id", "lang", F.lit(size).alias("size"), F.concat_ws(" ", "word", "rest").alias("phrase"), "f"), f"named-{size}"))
-        marked = local.join(held.select("first", "suffix", "id"), ["first", "suffix"]).select("shard", "at", "id")
-        step = _together(rows.where("text IS NOT NULL").select("shard", "text", "words"), marked, parts).applyInArrow(_go_on(size), OUT)
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every.drop("id"), words.groupBy("lang").agg(F.sum("f").alias("n"))
+        key = [f"w{i}" for i in range(size)]
+        counted = numbered.mapInArrow(_extender(size, known), ", ".join(f"{k} bigint" for k in [*key, "n"]))
+        held = land(counted.groupBy(*key).agg(F.sum("n").alias("f")).where(F.col("f") >= least), f"phrases-{size}")
+        rest = found[-1].select(*(F.col(f"w{i}").alias(f"w{i + 1}") for i in range(size - 1)), F.col("phrase").alias("rest"))
+        found.append(land(held.join(begin, "w0").join(rest, key[1:]).select(*key, "lang", F.concat_ws(" ", "word", "rest").alias("phrase"), "f"), f"named-{size}"))
+        if size < most_words:
+            known = docs.sparkSession.sparkContext.broadcast(phrase_filter(held.select(*key)))
+    every = None
+    for size, some in enumerate(found, 1):
+        some = some.select("lang", F.lit(size).alias("size"), "phrase", "f")
+        every = some if every is None else every.unionByName(some)
+    return every, words.groupBy("lang").agg(F.sum("f").alias("n"))
 
 
 def _wide(x: Column) -> Column:
