@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +23,10 @@ RANK_SHIFT = ID_BITS + OFFSET_BITS
 ID_MASK = 2**ID_BITS - 1
 #: Above every rank: the pair does not merge.
 NONE = ID_MASK
-TEXT_CHARS = 24_000_000
+#: Characters of texts after which a task gives its new words on, and words that it remembers.
+TEXT_CHARS, REMEMBERED = 1_000_000, 600_000
+#: Longer words are not folded.
+FOLD_BYTES = 256
 
 
 @lru_cache(maxsize=4)
@@ -80,19 +85,48 @@ def merge_bytes(pieces: Column, path: str) -> Column:
 
     def join_low(p: Column, low: Column) -> Column:
         merged = F.shiftright(low, RANK_SHIFT).cast("int")
-        return F.filter(F.transform(p, lambda e, i: F.when(e == low, piece(e, merged, id_of(F.get(p, i + 2))))
+        return F.array_remove(F.transform(p, lambda e, i: F.when(e == low, piece(e, merged, id_of(F.get(p, i + 2))))
                                     .when(F.get(p, i + 1) == low, piece(e, id_of(e), merged))
                                     .when(F.get(p, i - 1) == low, F.lit(-1).cast("bigint"))
-                                    .otherwise(e)), lambda e: e >= 0)
+                                    .otherwise(e)), F.lit(-1).cast("bigint"))
 
     def step(p: Column, _: Column) -> Column:
         low = F.array_min(p)
         return F.when(low >= NONE << RANK_SHIFT, p).otherwise(F.aggregate(F.array(low), p, join_low))
 
-    return F.when(F.size(pieces) < 2, pieces).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(pieces)), pieces, step))
-
-
-SPLIT = "doc_ids array<bigint>, n_words array<int>, codes binary, words array<array<bigint>>"
+    done = F.array_min(pieces) >= NONE << RANK_SHIFT
+    return F.when(pieces.isNull() | done, pieces).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(pieces)), pieces, step))
+
+
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one long word: pairs are joined in the order of (rank, place) by a heap over a linked list."""
+    n = len(word)
+    end, back, on = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))  # end, piece before and piece after of each piece
+    pair = [ranks.get(word[i:i + 2], -1) for i in range(n - 1)] + [-1]
+    heap = [rank << 40 | i for i, rank in enumerate(pair) if rank >= 0]
+    heapq.heapify(heap)
+    while heap:
+        rank, i = divmod(heapq.heappop(heap), 1 << 40)
+        if pair[i] != rank:  # an entry from before a merge
+            continue
+        gone = on[i]
+        end[i], on[i], pair[gone] = end[gone], on[gone], -1
+        if on[i] < n:
+            back[on[i]] = i
+        for at in (back[i], i):
+            if at >= 0:
+                pair[at] = ranks.get(word[at:end[on[at]]], -1) if on[at] < n else -1
+                if pair[at] >= 0:
+                    heapq.heappush(heap, pair[at] << 40 | at)
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i:end[i]]])
+        i = on[i]
+    return out
+
+
+#: A row is a word, numbered by its place since the last row of nulls, or a text (codes: the numbers of its words).
+SPLIT = "word array<bigint>, doc_id bigint, codes binary"
 
 
 class _Parts(dict):
@@ -109,46 +143,64 @@ class _Parts(dict):
         return out
 
 
-def _splitter(path: str, pattern: str, limit: int):
-    def batch(ids: list, counts: list[int], codes: list[np.ndarray], seen: dict[str, int], pairs: np.ndarray, singles: np.ndarray) -> pa.RecordBatch:
-        raw = [w.encode() for w in seen]
+def _splitter(path: str, pattern: str, limit: int, remembered: int):
+    def words(raw: list[bytes], ranks: dict[bytes, int], pairs: np.ndarray, singles: np.ndarray) -> pa.RecordBatch:
         offsets = np.cumsum([0, *map(len, raw)], dtype=np.int64)
         flat = np.frombuffer(b"".join(raw) + b"\0", np.uint8)
         rank = pairs[flat[:-1].astype(np.int64) << 8 | flat[1:]]
         rank[offsets[1:] - 1] = NONE
         place = np.arange(len(flat) - 1) - np.repeat(offsets[:-1], np.diff(offsets))
-        if len(place) and place.max() >= 2**OFFSET_BITS:
-            raise ValueError("a word is too long")
-        values = rank << RANK_SHIFT | place << ID_BITS | singles[flat[:-1]]
-        lists = pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)))
-        return pa.RecordBatch.from_arrays([
-            pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())),
-            pa.array([np.concatenate([np.empty(0, np.int32), *codes]).tobytes()], pa.binary()), lists,
-        ], names=["doc_ids", "n_words", "codes", "words"])
+        values, at = [rank << RANK_SHIFT | place << ID_BITS | singles[flat[:-1]]], 0
+        # A word that is a token stands for itself, as in the library; a long word is merged here. Nothing is left to fold of these.
+        ready = [i for i, w in enumerate(raw) if w in ranks or len(w) > FOLD_BYTES]
+        if ready:
+            every, values = values[0], []
+            for i in ready:
+                ids = [ranks[raw[i]]] if raw[i] in ranks else merge_long(raw[i], ranks)
+                values += [every[at:offsets[i]], NONE << RANK_SHIFT | np.array(ids, np.int64)]
+                at = offsets[i + 1]
+            values.append(every[at:])
+            sizes = np.diff(offsets)
+            sizes[ready] = [len(v) for v in values[1::2]]
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values)))
+        return batch(lists, pa.nulls(len(raw), pa.int64()), pa.nulls(len(raw), pa.binary()))
+
+    def batch(*columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*columns], names=["word", "doc_id", "codes"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, run, ranks = regex.compile(pattern).findall, regex.compile(r" (?:\s|$)").search, read_ranks(path)
         singles = np.array([ranks[bytes([x])] for x in range(256)], np.int64)
         pairs = np.array([ranks.get(bytes([x, y]), NONE) for x in range(256) for y in range(256)], np.int64)
-        ids, counts, codes, parts, chars = [], [], [], _Parts(find), 0
-        seen = parts.seen
+        lists = pa.list_(pa.int64())
+        parts, given, ids, codes, chars = _Parts(find), 0, [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            new = [w.encode() for w in islice(parts.seen, given, None)]
+            for start in range(0, len(new), 10_000):
+                yield words(new[start:start + 10_000], ranks, pairs, singles)
+            yield batch(pa.nulls(len(ids), lists), pa.array(ids, pa.int64()), pa.array(codes, pa.binary()))
+
         for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, text in zip(b.column(0).to_pylist(), b.column(1)):
+                text = text.as_py()
                 if not text or run(text):
                     own = parts.codes(find(text or ""))
                 else:
                     first, *rest = text.split(" ")
                     own = [*parts.codes(find(first)), *chain.from_iterable(map(parts.__getitem__, rest))]
-                codes.append(np.array(own, np.int32))
+                codes.append(np.array(own, np.int32).tobytes())
                 ids.append(i)
-                counts.append(len(own))
                 chars += len(text or "")
-                if chars >= limit:
-                    yield batch(ids, counts, codes, seen, pairs, singles)
-                    ids, counts, codes, parts, chars = [], [], [], _Parts(find), 0
-                    seen = parts.seen
+                if chars >= limit or len(parts) >= remembered:
+                    yield from flush()
+                    given, ids, codes, chars = len(parts.seen), [], [], 0
+                    if max(len(parts), given) >= remembered:
+                        yield batch(pa.nulls(1, lists), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()))
+                        parts, given = _Parts(find), 0
         if ids:
-            yield batch(ids, counts, codes, seen, pairs, singles)
+            yield from flush()
 
     return split
 
@@ -171,43 +223,54 @@ def _assembler(path: str, with_ids: bool):
             vocabulary[rank] = token
         sizes = np.array([*map(len, vocabulary)], np.int64)
         places, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(vocabulary), np.uint8)
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if with_ids else 4]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
+        none = np.empty(0, np.int64)
+        values, lengths = [none], [none]  # the ids of the words since the last row of nulls
         for b in batches:
-            for row in range(b.num_rows):
-                ids, counts = b.column(0)[row].as_py(), b.column(1)[row].as_py()
-                codes = np.frombuffer(b.column(2)[row].as_buffer(), np.int32)
-                lists = b.column(3)[row].values
-                offsets, values = np.asarray(lists.offsets, np.int64), np.asarray(lists.values, np.int64) & ID_MASK
-                lengths = np.diff(offsets)
-                out, at = [], 0
-                for i, n in zip(ids, counts):
-                    own = codes[at:at + n]
-                    at += n
-                    tokens = _gather(values, offsets[:-1][own], lengths[own])
-                    packed = tokens.astype("<u4").tobytes()
-                    decoded = _gather(flat, places[tokens], sizes[tokens]).tobytes()
-                    digest = (i, len(tokens), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest())
-                    out.append((*digest, packed, decoded) if with_ids else digest)
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if with_ids else 4]
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+            kind = np.where(b.column(0).is_valid(), 0, np.where(b.column(2).is_valid(), 1, 2))
+            edges = [0, *(np.flatnonzero(np.diff(kind)) + 1).tolist(), b.num_rows]
+            for start, stop in zip(edges, edges[1:]):
+                run = b.slice(start, stop - start)
+                if not run.num_rows:
+                    continue
+                if kind[start] == 0:
+                    values.append(run.column(0).flatten().to_numpy() & ID_MASK)
+                    lengths.append(pc.list_value_length(run.column(0)).to_numpy().astype(np.int64))
+                elif kind[start] == 2:
+                    values, lengths = [none], [none]
+                else:
+                    values, lengths = [np.concatenate(values)], [np.concatenate(lengths)]
+                    starts, out = np.cumsum(lengths[0]) - lengths[0], []
+                    for i, codes in zip(run.column(1).to_pylist(), run.column(2)):
+                        own = np.frombuffer(codes.as_buffer(), np.int32)
+                        tokens = _gather(values[0], starts[own], lengths[0][own])
+                        packed = tokens.astype("<u4").tobytes()
+                        decoded = _gather(flat, places[tokens], sizes[tokens]).tobytes()
+                        digest = (i, len(tokens), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest())
+                        out.append((*digest, packed, decoded) if with_ids else digest)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     return assemble
 
 
-def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, text_chars: int = TEXT_CHARS) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, text_chars: int = TEXT_CHARS, remembered: int = REMEMBERED) -> DataFrame:
     """Ids of every text by the merge ranks in ``path``, and the text decoded from them.
 
-    Each match of ``pattern`` is merged by itself. Tasks cut texts into words and number the distinct words of
-    some ``text_chars`` characters of texts; Spark folds the merges over the byte arrays of these; tasks then put
-    the ids of each text together, and the decoded text from the byte pieces of the ids. Nothing is shuffled.
+    Each match of ``pattern`` is merged by itself. Tasks cut texts into words and number the distinct words; Spark folds the
+    merges over the byte arrays of these, a row a word; tasks then put the ids of each text together, and the
+    decoded text from the byte pieces of the ids. A task gives its new words on after some ``text_chars`` characters of
+    texts and forgets them beyond ``remembered`` words, so rows and memory stay small. A word of more than 256 bytes is merged in the
+    task by a heap, in n log n steps, as a fold would take the square of its length. Nothing is shuffled.
+
     Returns doc_id, n_tokens, ids_sha256 (of little-endian 32-bit ids) and decoded_sha256; ``with_ids`` adds the
     ids (packed) and the decoded bytes. Null and empty texts have no ids; repeated rows and null ids give a row
     each; other columns are ignored; an empty table gives no rows. One text is held whole in a task.
     """
     if max(read_ranks(path).values()) >= NONE:
         raise ValueError("too many ranks")
-    cut = docs.select("doc_id", "text").mapInArrow(_splitter(path, pattern, text_chars), SPLIT)
-    merged = cut.select("doc_ids", "n_words", "codes", F.transform("words", lambda w: merge_bytes(w, path)).alias("words"))
+    cut = docs.select("doc_id", "text").mapInArrow(_splitter(path, pattern, text_chars, remembered), SPLIT)
+    merged = cut.select(merge_bytes(F.col("word"), path).alias("word"), "doc_id", "codes")
     return merged.mapInArrow(_assembler(path, with_ids), ENCODED + ", ids binary, decoded binary" * with_ids)
 
 

@@ -86,6 +86,20 @@ def test_bpe_random_unicode(spark):
     check_ids(bpe.encode(df, catalog.RANKS, P.PATTERN, text_chars=500).collect(), texts)
 
 
+def test_bpe_forgets_words(spark):
+    texts = {i: " ".join(f"w{(i * 7 + j) % 90}é" for j in range(40)) + "\n\n x" * (i % 3) for i in range(120)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").coalesce(1)
+    for chars, words in ((1, 1), (1, 50), (700, 60), (10**6, 10**6)):
+        check_ids(bpe.encode(df, catalog.RANKS, P.PATTERN, text_chars=chars, remembered=words).collect(), texts)
+
+
+def test_bpe_long_words(spark):
+    draw = random.Random(8)
+    texts = {1: "a" * 200_000, 2: "".join(draw.choice("abcdefghijklmnop") for _ in range(200_000)), 3: "x " + "".join(chr(draw.randrange(0x4E00, 0x9FA5)) for _ in range(60_000)),
+             4: "".join(draw.choice("ACGT") for _ in range(999)) + " short words too", 5: "b" * 256 + " " + "b" * 257 + " " + "ab" * 128}
+    check_ids(bpe.encode(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), catalog.RANKS, P.PATTERN).collect(), texts)
+
+
 def test_bpe_ids_and_decode(spark):
     df = spark.createDataFrame([(1, "aaaa  don't stop")], "doc_id bigint, text string")
     row = bpe.encode(df, catalog.RANKS, P.PATTERN, with_ids=True).collect()[0]
@@ -113,7 +127,7 @@ def test_mix_table(spark, docs):
     rows = rows_of(spark, "op2_source_mix")
     assert {r.doc_id: r.size for r in rows} == {i: len(brute.WORD.findall(t or "")) for i, t in docs}
     assert all(r.taken <= 3 * r.size for r in rows)
-    assert rows_of(spark, "op2_source_mix").sort(key=lambda r: r.doc_id) == rows.sort(key=lambda r: r.doc_id)
+    assert sorted(rows_of(spark, "op2_source_mix")) == sorted(rows)
     source = {r.doc_id: r.source for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     taken, want = {}, {}
     for r in rows:
