@@ -63,13 +63,29 @@ CANDIDATES = ("file string, offset bigint, successor bigint, page_id bigint, rec
               "payload_bytes bigint, payload_digest string")
 
 
+def unpacked(content: bytes) -> bytes:
+    """The data of a file: gzip members one after the other, as archives have one for each record, or the bytes as they are."""
+    if content[:2] != b"\x1f\x8b":
+        return bytes(content)
+    data, out, at = memoryview(content), [], 0
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(data):
+            part = data[at:at + 65_536]
+            out.append(member.decompress(part))
+            at += len(part) - len(member.unused_data)
+        if not member.eof:
+            raise ValueError("a gzip member is cut off")
+    return b"".join(out)
+
+
 def _candidates(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Everything in a file that looks like the start of a record, with the offset at which the next must start, and a row
     without a type for the end of the file."""
     number = lambda m: int(m[1]) if m else None
     for batch in files:
         for path, content in zip(batch["path"], batch["content"]):
-            data = zlib.decompress(content, 31) if content[:2] == b"\x1f\x8b" else bytes(content)
+            data = unpacked(content)
             rows = []
             for m in MAGIC.finditer(data):
                 end = data.find(b"\r\n\r\n", m.start())
@@ -112,7 +128,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives below ``path``: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Tasks list candidate records and their successors; only those on the chain from a file's start are records, so a record
-    inside a payload is not one. A chain that does not reach the end of its file, as in a cut file, is an error. Response digests and sizes are those of the payload as read; a revisit has those of its headers.
+    inside a payload is not one. A chain that does not reach the end of its file, as in a cut file, is an error, and so is a gzip member that is cut off; a file
+    may have any number of members. Response digests and sizes are those of the payload as read; a revisit has those of its headers.
     A file is held whole in a task, so archives should be of bounded size, as ``write`` makes them.
     """
     # One file in an Arrow batch at a time would do; Spark packs files of a task up to maxPartitionBytes.

@@ -1,5 +1,6 @@
 """The ten operators against brute force, on the smallest tables and on rows of edge cases."""
 
+import gzip
 import hashlib
 import os
 import random
@@ -246,6 +247,17 @@ def test_warc_edges(spark):
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+def test_warc_with_a_gzip_member_for_each_record(spark, tmp_path):
+    records = [f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {n}\r\n\r\n{'x' * n}\r\n\r\n".encode() for i, n in enumerate((5, 0, 3000, 1, 7))]
+    members = [gzip.compress(r) for r in records]
+    for name, data in (("whole", b"".join(members)), ("cut", members[0] + members[1][:-9])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc.gz").write_bytes(data)
+    assert sorted((r.page_id, r.payload_bytes) for r in warc.read(spark, str(tmp_path / "whole")).collect()) == [(0, 5), (1, 0), (2, 3000), (3, 1), (4, 7)]
+    with pytest.raises(Exception, match="cut off"):
+        warc.read(spark, str(tmp_path / "cut"))
+
+
 def test_warc_long_url_and_cut_file(spark, tmp_path):
     """Headers may be of any length; a file whose chain breaks off is refused."""
     pages = [(i, "data:," + "u" * 200_000 if i == 3 else "http://a/WARC/1.1", f"page {i}") for i in range(8)]
