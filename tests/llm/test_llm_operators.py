@@ -10,6 +10,7 @@ from functools import lru_cache
 import brute
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -415,6 +416,36 @@ def test_pipeline(spark, docs):
     assert sorted((r.doc_id, r.ids_sha256) for r in encoded.collect()) == ids
 
 
+def test_stars_settle(spark, monkeypatch):
+    """Members of shared buckets, however often the task settles and however rows repeat."""
+    draw = np.random.default_rng(5)
+    rows = [(int(b), int(i)) for b, i in zip(draw.integers(0, 400, 6000), draw.integers(0, 3000, 6000))] + [(7, i) for i in range(2000)] + [(-3, 9)] * 50
+    column = lambda v: pa.array([np.array(v, np.int64).tobytes()], pa.binary())
+    cuts = [pa.RecordBatch.from_arrays([pa.array([0]), column([b for b, _ in rows[k:k + 100]]), column([i for _, i in rows[k:k + 100]])], names=["part", "buckets", "ids"])
+            for k in range(0, len(rows), 100)]
+    want = {}
+    for b, i in rows:
+        want.setdefault(b, set()).add(i)
+    want = {b: v for b, v in want.items() if len(v) > 1}
+    for settle in (150, 10**6):
+        monkeypatch.setattr(linededup, "SETTLE_ROWS", settle)
+        got, centres = {}, {}
+        for out in linededup._stars(iter(cuts)):
+            for b, i, a in zip(*(c.to_pylist() for c in out.columns)):
+                got.setdefault(b, set()).add(i)
+                centres.setdefault(b, set()).add(a)
+        assert got == want and all(len(a) == 1 and a <= got[b] for b, a in centres.items())
+
+
+def test_line_dedup_of_long_and_hot_lines(spark):
+    """Lines of a hundred thousand characters, a large group of near copies, the same line in every document."""
+    long, base = " ".join(f"w{i * i % 9973}" for i in range(20_000)), "a line of some words that many documents share with a small change at its end number"
+    rows = [(i, f"line that all have\n{base} {i % 300}\nown text {i * 7919 % 10007} of {i * 104729 % 10009}") for i in range(900)]
+    rows += [(1000, long), (1001, long + " end"), (1002, "x" + long[::-1]), (1003, None), (1004, "")]
+    got = {r.doc_id: r.removed for r in linededup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: sorted(v) for i, v in brute.lines(rows).items()}
+
+
 def test_pipeline_near_dedup_of_rows(spark):
     """One row of each group, whatever the ids: an id with two texts, rows without an id, equal rows."""
     one, two, three = (" ".join(f"{x}{j}" for j in range(60)) for x in "xyz")
