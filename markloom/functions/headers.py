@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markloom import constants as K
-from markloom.operators.ordering import joined_distinct, row_numbers
+from markloom.operators.ordering import beside_text, joined_distinct, row_numbers
 
 # header positions numbered by one task
 HEADER_PIECE = 1_000
@@ -106,4 +106,5 @@ def collisions(df: DataFrame, old: str, new: str) -> DataFrame:
     """New names that more than one old header would take."""
     once = df.select(old, new).distinct()
     many = once.groupBy(new).agg(F.count("*").alias("n_headers")).filter("n_headers > 1")
-    return many.join(joined_distinct(once, [new], old, " | ", "headers"), new)
+    texts = joined_distinct(once.join(many.select(new), new), [new], old, " | ", "headers")
+    return beside_text(many, texts, [new])

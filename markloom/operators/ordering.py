@@ -94,6 +94,13 @@ def joined_distinct(df: DataFrame, group: list[str], text: str, sep: str, name:
     return joined_text(once, group, [F.col(text)], piece, text, sep, name, segment_rows=segment_rows)
 
 
+def beside_text(totals: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Joined texts with the totals of their group. The totals stand in the first segment alone and are null in the others,
+    so each is in the table once, however long the text is."""
+    once = totals.withColumn("segment", F.lit(0).cast("bigint"))
+    return texts.join(once, [*keys, "segment"], "left")
+
+
 def top_rows(df: DataFrame, group: list[str], order: list, k: int, name: str = "rn") -> DataFrame:
     """The first ``k`` rows of each group. Spark keeps only ``k`` rows per group and map task before the shuffle."""
     w = W.partitionBy(*group).orderBy(*order)

@@ -53,6 +53,13 @@ def pivot_cells(df: DataFrame, keys: list[str], column: str, values: list, cell)
     return df.groupBy(*keys).pivot(column, values).agg(cell)
 
 
+def pivot_texts(joined: DataFrame, keys: list[str], column: str, values: list, text: str, missing: str) -> DataFrame:
+    """Joined texts side by side, a row for each segment. Every text has a first segment, so a value without one there was
+    never given and reads ``missing``; where only another value's text goes on, the cell is null."""
+    wide = pivot_cells(joined, [*keys, "segment"], column, values, F.max(text))
+    return wide.select(*keys, "segment", *[F.coalesce(v, F.when(F.col("segment") == 0, missing)).alias(v) for v in values])
+
+
 def repeated_cells(df: DataFrame, keys: list[str]) -> DataFrame:
     """Cells that a strict pivot must refuse."""
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")

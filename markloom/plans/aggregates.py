@@ -257,13 +257,16 @@ def a27(t: Tables):
 
 @query("A28_pivot_joined_text", """
 , r AS (SELECT student_id, setting, role || ' ' || form_id AS x, row_number() OVER (PARTITION BY student_id, setting ORDER BY form_id) AS rn FROM frm),
-j AS (SELECT student_id, setting, (rn - 1) // 10000 AS segment, string_agg(x, '; ' ORDER BY rn) AS x FROM r GROUP BY ALL)
-SELECT student_id, segment, coalesce(max(x) FILTER (setting = 'Clinic'), 'Not completed') AS Clinic, coalesce(max(x) FILTER (setting = 'Simulation'), 'Not completed') AS Simulation FROM j GROUP BY ALL
+j AS (SELECT student_id, setting, (rn - 1) // 10000 AS segment, string_agg(x, '; ' ORDER BY rn) AS x FROM r GROUP BY ALL),
+w AS (SELECT student_id, segment, max(x) FILTER (setting = 'Clinic') AS c, max(x) FILTER (setting = 'Simulation') AS m FROM j GROUP BY ALL),
+k AS (SELECT student_id, count(*) FILTER (setting = 'Clinic') AS nc, count(*) FILTER (setting = 'Simulation') AS nm FROM frm GROUP BY student_id)
+SELECT student_id, segment, CASE WHEN nc = 0 AND segment = 0 THEN 'Not completed' ELSE c END AS Clinic,
+  CASE WHEN nm = 0 AND segment = 0 THEN 'Not completed' ELSE m END AS Simulation FROM w JOIN k USING (student_id)
 """)
 def a28(t: Tables):
     rows = t.forms.select("student_id", "setting", "form_id", F.concat_ws(" ", "role", "form_id").alias("x"))
     joined = ORD.joined_text(rows, ["student_id", "setting"], ["form_id"], F.floor(c("form_id") / 10_000), "x", "; ", "x")
-    return R.pivot_cells(joined, ["student_id", "segment"], "setting", ["Clinic", "Simulation"], F.max("x")).fillna("Not completed")
+    return R.pivot_texts(joined, ["student_id"], "setting", ["Clinic", "Simulation"], "x", "Not completed")
 
 
 #: Line numbers of the given orders.

@@ -277,7 +277,7 @@ SELECT strftime(day, '%Y-%m-%d') AS day, CAST(sum(level) AS DOUBLE) / count(*) A
 def a60(t: Tables):
     means = t.answers.groupBy("day").agg(F.avg("level").alias("mean_level"))
     items = ORD.joined_distinct(t.answers, ["day"], "item", ",", "items")
-    return means.join(items, "day").withColumn("day", s(c("day")))
+    return ORD.beside_text(means, items, ["day"]).withColumn("day", s(c("day")))
 
 
 @query("A61_own_mark_beside_mean", """
@@ -319,12 +319,12 @@ def a63(t: Tables):
 , r AS (SELECT student_id, form_id, checklist_score, clinic, cents, row_number() OVER (PARTITION BY student_id ORDER BY form_id) AS rn FROM fs),
 g AS (SELECT student_id, CAST(sum(cents) AS BIGINT) AS total_cents, round(avg(checklist_score), 6) AS mean_score, arg_min(clinic, form_id) AS first_clinic FROM r GROUP BY student_id),
 j AS (SELECT student_id, (rn - 1) // 10000 AS segment, string_agg(CAST(form_id AS VARCHAR), ';' ORDER BY rn) AS forms FROM r GROUP BY ALL)
-SELECT * FROM g JOIN j USING (student_id)
+SELECT j.student_id, total_cents, mean_score, first_clinic, segment, forms FROM j LEFT JOIN g ON j.student_id = g.student_id AND segment = 0
 """)
 def a64(t: Tables):
     g = t.form_scores.groupBy("student_id").agg(F.sum("cents").alias("total_cents"), r6(F.avg("checklist_score")).alias("mean_score"), F.min_by("clinic", "form_id").alias("first_clinic"))
     forms = t.form_scores.select("student_id", "form_id", s(c("form_id")).alias("x"))
-    return g.join(ORD.joined_text(forms, ["student_id"], ["form_id"], F.floor(c("form_id") / 10_000), "x", ";", "forms"), "student_id")
+    return ORD.beside_text(g, ORD.joined_text(forms, ["student_id"], ["form_id"], F.floor(c("form_id") / 10_000), "x", ";", "forms"), ["student_id"])
 
 
 @query("A65_codes_per_student", """

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from markloom.operators import joins as JN
 from markloom.operators import models as MD
 from markloom.operators import ordering as ORD
+from markloom.operators import reshape as R
 from markloom.operators import similarity as SIM
 from markloom.operators import solver as SV
 from markloom.operators import stats as ST
@@ -71,6 +72,21 @@ def test_joined_text_in_segments(hot):
         assert max(p.count(";") for p in parts) < 40
 
 
+def test_totals_and_gaps_beside_long_texts(spark):
+    """A group of 25,000: its totals stand once, and only a setting never given reads as missing."""
+    df = spark.range(25_000).select(F.lit(1).alias("g"), F.lit("a").alias("s"), F.col("id").alias("o"), F.col("id").cast("string").alias("t"))
+    df = df.union(spark.createDataFrame([(1, "b", i, str(i)) for i in range(5)] + [(2, "b", 1, "x"), (3, "a", 1, None)], "g int, s string, o bigint, t string"))
+    texts = ORD.joined_text(df, ["g", "s"], ["o"], F.floor(F.col("o") / 1000), "t", ";", "t")
+    wide = {(r.g, r.segment): (r.a, r.b) for r in R.pivot_texts(texts, ["g"], "s", ["a", "b"], "t", "none").collect()}
+    assert set(wide) == {(1, 0), (1, 1), (1, 2), (2, 0), (3, 0)}
+    assert ";".join(wide[1, k][0] for k in range(3)) == ";".join(map(str, range(25_000)))
+    assert [wide[1, k][1] for k in range(3)] == ["0;1;2;3;4", None, None]
+    assert wide[2, 0] == ("none", "x") and wide[3, 0] == ("", "none")
+    totals = df.groupBy("g", "s").agg(F.count("*").alias("n"))
+    got = ORD.beside_text(totals, texts, ["g", "s"]).collect()
+    assert sum(r.n or 0 for r in got) == 25_007 and len(got) == 6 and all((r.n is None) == (r.segment > 0) for r in got)
+
+
 def test_pairs_once_for_any_block(spark):
     rows = [(1, m) for m in range(23)] + [(2, 5), (2, 9), (2, 5), (3, 1)]
     df = spark.createDataFrame(rows, "g int, m int")
