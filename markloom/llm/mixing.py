@@ -67,8 +67,9 @@ def permuted(slot: pd.Series, n: pd.Series, seed: pd.Series) -> pd.Series:
 
 @dataclass
 class Mix:
-    """``sources``: source, source_size, target, n_blocks, n_slots. ``places``: llm_doc_key, doc_id, source, size, offset of its
-    first word in its source's stream. ``slots``: shard, source, slot, pass, block."""
+    """``sources``: source, source_size, target, n_full (whole blocks), n_blocks, n_slots, last_words (of the last slot), draws
+    (slots of each shard). ``places``: llm_doc_key, doc_id, source, size, offset of its first word in its source's stream.
+    ``slots``: shard, source, slot, pass, block, length (words taken from the block's start)."""
 
     sources: DataFrame
     places: DataFrame
@@ -80,9 +81,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
     """Draw the blocks of a mix of all documents by source.
 
     Each source's documents are packed end to end and cut into blocks of ``block`` words (the last may be shorter).
-    A source gets as many slots as its target needs; how many of them lie in each output shard is a multinomial draw
-    given that total. Slot j of a source takes, in pass j div n, the block at place j mod n of that pass's permutation, so
-    no block is taken more than three times. All draws are hashes of seed, source and slot: reruns agree.
+    A source gets as many slots as its target needs, and the last slot takes the words that are still wanted: the words
+    taken are the target, rounded. How many slots of a source lie in each output shard is a multinomial draw of that total;
+    a shard's slots follow those of the shard before. Slot j takes, in pass j div n, the block at place j mod n of that
+    pass's permutation of the whole blocks, the shorter one coming last, so no block is taken more than three times.
+    All draws depend on seed, source and slot alone: reruns agree.
 
     Nulls: a null text has size 0, a null source is a source of its own, last in order; null and repeated doc_ids
     keep a row each. A source of size 0 has target 0. An empty table gives no rows. The sources are ranked on the
@@ -107,23 +110,29 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
     totals.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be")))
     sizes = [r.n for r in totals]
     plan = []
-    for r, target in zip(totals, targets(sizes, weights)):
+    for i, (r, target) in enumerate(zip(totals, targets(sizes, weights))):
         n = -(-r.n // block)
-        passes, rest = divmod(target, r.n) if r.n else (0, 0)
-        plan.append((r.source, r.n, target, n, int(passes) * n + min(n, round(rest / block))))
-    sources = spark.createDataFrame(plan, "source string, source_size bigint, target double, n_blocks bigint, n_slots bigint")
-    # Slots are counted per shard: each slot falls into a shard by its hash, a multinomial draw with the source's total.
+        passes = int(target // r.n) if r.n else 0
+        rest = round(target - passes * r.n)
+        more = -(-rest // block)
+        draws = np.random.default_rng([seed, i]).multinomial(passes * n + more, [1 / shards] * shards).tolist()
+        plan.append((r.source, r.n, target, r.n // block, n, passes * n + more, rest - (more - 1) * block if more else block, draws))
+    sources = spark.createDataFrame(plan, "source string, source_size bigint, target double, n_full bigint, n_blocks bigint, n_slots bigint,"
+                                    " last_words bigint, draws array<bigint>")
     per_task = 100_000
-    ranges = sources.where("n_slots > 0").select(
-        "source", "n_blocks", "n_slots", F.explode(F.sequence(F.lit(0), (F.col("n_slots") - 1), F.lit(per_task).cast("bigint"))).alias("first"))
-    slot = F.explode(F.sequence("first", F.least(F.col("first") + per_task, "n_slots") - 1)).alias("slot")
-    tasks = sum(p[4] // per_task + 1 for p in plan) or 1
-    slots = ranges.repartition(tasks, "source", "first").select("source", "n_blocks", slot)
+    dealt = sources.select("*", F.posexplode("draws").alias("shard", "drawn")).where("drawn > 0").select(
+        "*", F.expr("aggregate(slice(draws, 1, shard), 0L, (a, x) -> a + x)").alias("start"))
+    ranges = dealt.select("shard", "source", "n_full", "n_blocks", "n_slots", "last_words", (F.col("start") + F.col("drawn")).alias("stop"),
+                          F.explode(F.sequence("start", F.col("start") + F.col("drawn") - 1, F.lit(per_task).cast("bigint"))).alias("first"))
+    slot = F.explode(F.sequence("first", F.least(F.col("first") + per_task, "stop") - 1)).alias("slot")
+    tasks = sum(p[5] // per_task + 1 for p in plan) or 1
+    slots = ranges.repartition(tasks, "source", "first").select("shard", "source", "n_full", "n_blocks", "n_slots", "last_words", slot)
+    slots = slots.withColumns({"pass": F.expr("slot div n_blocks"), "place": F.col("slot") % F.col("n_blocks")})
+    whole = permuted(F.least("place", F.greatest(F.col("n_full") - 1, F.lit(0))), F.greatest("n_full", F.lit(1)),
+                     F.xxhash64(F.lit(seed), "source", "pass"))
     slots = slots.select(
-        F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "source", "slot"), F.lit(shards)).alias("shard"), "source", "slot",
-        F.expr("slot div n_blocks").alias("pass"),
-        permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"),
-                 F.xxhash64(F.lit(seed), "source", F.expr("slot div n_blocks"))).alias("block"))
+        "shard", "source", "slot", "pass", F.when(F.col("place") < F.col("n_full"), whole).otherwise(F.col("n_full")).alias("block"),
+        F.when(F.col("slot") == F.col("n_slots") - 1, F.col("last_words")).otherwise(F.lit(block)).cast("bigint").alias("length"))
     return Mix(sources, places, slots)
 
 
@@ -136,12 +145,17 @@ def _pieces(places: DataFrame, block: int) -> DataFrame:
                           "to": F.least((F.col("block") + 1) * block - F.col("offset"), "size")}))
 
 
+def _end(block: int) -> Column:
+    """End of a piece within a slot that takes ``length`` words of its block; not before the piece's start."""
+    return F.greatest("from", F.least("to", F.col("block") * block + F.col("length") - F.col("offset")))
+
+
 def taken_words(m: Mix, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target, taken: for every document, the words that the mix takes of it."""
     # The slots come from a few rows, so their number is underestimated: they must not be broadcast.
-    counts = m.slots.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.count("*").alias("times")).hint("merge")
+    counts = m.slots.groupBy(F.col("source").alias("s"), F.col("block").alias("b"), "length").agg(F.count("*").alias("times")).hint("merge")
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
-    taken = (_pieces(m.places, block).join(counts, same).groupBy("doc_id", "llm_doc_key")
+    taken = (_pieces(m.places, block).join(counts, same).withColumn("to", _end(block)).groupBy("doc_id", "llm_doc_key")
              .agg(F.sum((F.col("to") - F.col("from")) * F.col("times")).alias("taken")))
     d = m.places.alias("d")
     # Equal rows (same id and text) are counted together and shared out evenly.
@@ -162,8 +176,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block
     """
     key = F.xxhash64(*docs.columns)
     m = mix(docs, weights, block, seed=seed, key=key)
-    slots = m.slots.select(F.col("source").alias("s"), F.col("block").alias("b"), "pass").hint("merge")
+    slots = m.slots.select(F.col("source").alias("s"), F.col("block").alias("b"), "pass", "length").hint("merge")
     runs = (_pieces(m.places, block).join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+            .withColumn("to", _end(block)).where(F.col("to") > F.col("from"))
             .groupBy("llm_doc_key", "source", "offset", "pass").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("runs")))
     all_words = F.regexp_extract_all("text", F.lit(f"[{SPACE}]*[^{SPACE}]+"), F.lit(0))
     cut = let(all_words, lambda w: F.concat_ws("", F.flatten(F.transform("runs", lambda r: F.slice(
@@ -174,3 +189,33 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
+
+
+def shard_blocks(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, shards: int = SHARDS, seed: int = 1) -> DataFrame:
+    """The mix as it is written out: shard, place (0, 1, ... within shard and source), source, slot, words (the text of the slot's block).
+
+    A block holds at most ``block`` words, from one or more documents that follow each other; only the last of a source's
+    stream and the last slot of a source are shorter. Nulls, empty texts and equal rows as in ``mix``.
+    """
+    key = F.xxhash64("source", "text")
+    m = mix(docs, weights, block, shards, seed, key)
+    texts = docs.select(key.alias("llm_doc_key"), "text").dropDuplicates(["llm_doc_key"])
+    at = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("offset") + F.col("size") - 1) / block) - F.floor(F.col("offset") / block))
+    cuts = F.transform(at, lambda i: F.floor(F.col("offset") / block) + i)
+    piece = lambda w: F.transform(cuts, lambda b: F.struct(
+        b.alias("block"), F.greatest(b * block, "offset").alias("at"),
+        F.slice(w, (F.greatest(b * block - F.col("offset"), F.lit(0)) + 1).cast("int"),
+                (F.least((b + 1) * block, F.col("offset") + F.col("size")) - F.greatest(b * block, "offset")).cast("int")).alias("w")))
+    found = F.regexp_extract_all("text", F.lit(f"[^{SPACE}]+"), F.lit(0))
+    pieces = (m.places.where("size > 0").join(texts, "llm_doc_key").select("source", F.explode(let(found, piece)).alias("p"))
+              .select("source", "p.block", "p.at", "p.w"))
+    slots = m.slots.select("shard", F.col("source").alias("s"), "slot", F.col("block").alias("b"), "length").hint("merge")
+    kept = F.greatest(F.lit(0), F.least(F.size("w"), F.col("b") * block + F.col("length") - F.col("at"))).cast("int")
+    rows = pieces.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).select(
+        "shard", "source", "slot", "at", F.slice("w", F.lit(1), kept).alias("w"))
+    starts = m.sources.select(F.col("source").alias("s"), F.posexplode("draws").alias("sh", "drawn"), "draws").select(
+        "s", "sh", F.expr("aggregate(slice(draws, 1, sh), 0L, (a, x) -> a + x)").alias("start"))
+    joined = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "w"))), lambda x: x["w"])), " ")
+    out = rows.groupBy("shard", "source", "slot").agg(joined.alias("words"))
+    return (out.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("sh")))
+            .select("shard", (F.col("slot") - F.col("start")).alias("place"), "source", "slot", "words"))
