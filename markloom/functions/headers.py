@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markloom import constants as K
-from markloom.operators.ordering import beside_text, joined_distinct, row_numbers
+from markloom.operators.ordering import beside_text, ordered_distinct, row_numbers
 
 # header positions numbered by one task
 HEADER_PIECE = 1_000
@@ -103,8 +103,8 @@ def number_other_headers(df: DataFrame, header: str, position: str) -> DataFrame
 
 
 def collisions(df: DataFrame, old: str, new: str) -> DataFrame:
-    """New names that more than one old header would take."""
+    """New names that more than one old header would take, a row for each header; their number stands beside the first."""
     once = df.select(old, new).distinct()
     many = once.groupBy(new).agg(F.count("*").alias("n_headers")).filter("n_headers > 1")
-    texts = joined_distinct(once.join(many.select(new), new), [new], old, " | ", "headers")
+    texts = ordered_distinct(once.join(many.select(new), new), [new], old, "header")
     return beside_text(many, texts, [new])

@@ -17,7 +17,9 @@ def parse_map(text: Column, value_type: str = "string") -> Column:
     kind = f"map<string,{value_type}>"
     literal = text
     for word, json in (("None", "null"), ("True", "true"), ("False", "false")):
-        literal = F.regexp_replace(literal, rf"(?<=[:,\[]\s?){word}(?=\s*[,}}\]])", json)
+        # a quoted string is matched whole and put back as it is; a bare word between delimiters is replaced
+        literal = F.regexp_replace(literal, rf"""("(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+')|(?<=[:,\[\s]){word}(?=\s*[,}}\]])""", f"$1\u0001{json}")
+        literal = F.regexp_replace(F.regexp_replace(literal, rf"(?<=[\"'])\u0001{json}", ""), "\u0001", "")
     return F.coalesce(F.from_json(text, kind), F.from_json(literal, kind), F.create_map().cast(kind))
 
 

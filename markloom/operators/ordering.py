@@ -1,4 +1,4 @@
-"""Row numbers, running values and joined text that hold when one group is a third of the data.
+"""Row numbers, running values and ordered texts that hold when one group is a third of the data.
 
 A plain window puts a whole group into one task. Here each group is cut into
 pieces by ``piece``, an expression that never falls as the order rises (a day, an id
@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SEGMENT_ROWS = 10_000
-
 
 def _carried(df: DataFrame, group: list[str], piece: Column, summary: list[Column], carry) -> DataFrame:
     """Attach the carry-in of the (group, piece) of every row as ``_carry``."""
@@ -68,37 +66,38 @@ def fill_from_neighbours(df: DataFrame, group: list[str], order: str, piece: Col
     return out.withColumn(name, filled).drop("_piece", "_carry")
 
 
-def joined_text(
-    df: DataFrame, group: list[str], order: list, piece: Column, text: str, sep: str,
-    name: str = "text", strip: str | None = None, segment_rows: int = SEGMENT_ROWS,
-) -> DataFrame:
-    """All texts of a group in order, joined by ``sep``.
+def ordered_texts(df: DataFrame, group: list[str], order: list, piece: Column, text: str, name: str = "text",
+                  ends: bool = False) -> DataFrame:
+    """The texts of a group in order, a row each: (group, place from 1, text), in the same shape at every size.
 
-    A group longer than ``segment_rows`` comes out as numbered segments, so no task and no
-    cell holds an unbounded group, and nothing is cut off.
+    ``ends`` leaves out blank texts before the first and after the last that is not blank. Joined by a separator the rows are
+    one text; ``writers.write_texts`` writes that, since a cell could not hold the text of a large group.
     """
-    rows = row_numbers(df, group, order, piece, "_rn")
-    rows = rows.withColumn("segment", F.floor((F.col("_rn") - 1) / segment_rows).cast("bigint"))
-    cell = F.array_sort(F.collect_list(F.struct(F.col("_rn").alias("o"), F.col(text).alias("t"))))
-    joined = F.array_join(F.transform(cell, lambda x: x["t"]), sep)
-    if strip is not None:
-        joined = F.trim(joined, F.lit(strip))
-    return rows.groupBy(*group, "segment").agg(joined.alias(name))
-
-
-def joined_distinct(df: DataFrame, group: list[str], text: str, sep: str, name: str = "text",
-                    piece: Column | None = None, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Sorted distinct texts of a group, joined; duplicates go before anything is gathered."""
+    rows = row_numbers(df, group, order, piece, "place")
+    if ends:
+        full = F.when(F.btrim(F.coalesce(text, F.lit(""))) != "", F.col("place"))
+        span = rows.groupBy(*group).agg(F.min(full).alias("_low"), F.max(full).alias("_high"))
+        rows = rows.join(span, group).filter(F.col("place").between(F.col("_low"), F.col("_high")))
+    return rows.select(*group, "place", F.col(text).alias(name))
+
+
+def ordered_distinct(df: DataFrame, group: list[str], text: str, name: str = "text", piece: Column | None = None) -> DataFrame:
+    """Sorted distinct texts of a group, a row each; duplicates go before anything is ordered."""
     once = df.select(*group, text).filter(F.col(text).isNotNull()).distinct()
     piece = F.left(F.col(text), F.lit(1)) if piece is None else piece
-    return joined_text(once, group, [F.col(text)], piece, text, sep, name, segment_rows=segment_rows)
+    return ordered_texts(once, group, [F.col(text)], piece, text, name)
+
+
+def joined_set(df: DataFrame, group: list[str], value: str, sep: str, name: str) -> DataFrame:
+    """Sorted distinct values of a group in one cell. Only for values of a fixed list (clinics, item codes), which bounds the cell."""
+    return df.groupBy(*group).agg(F.array_join(F.array_sort(F.collect_set(value)), sep).alias(name))
 
 
 def beside_text(totals: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Joined texts with the totals of their group. The totals stand in the first segment alone and are null in the others,
-    so each is in the table once, however long the text is."""
-    once = totals.withColumn("segment", F.lit(0).cast("bigint"))
-    return texts.join(once, [*keys, "segment"], "left")
+    """Ordered texts with the totals of their group. The totals stand beside the first text alone and are null beside the
+    others, so each is in the table once, however many texts there are."""
+    once = totals.withColumn("place", F.lit(1).cast("bigint"))
+    return texts.join(once, [*keys, "place"], "left")
 
 
 def top_rows(df: DataFrame, group: list[str], order: list, k: int, name: str = "rn") -> DataFrame:

@@ -52,7 +52,7 @@ def front_table(forms: DataFrame, questions: DataFrame, codes: DataFrame, subset
     top = top_rows(counted, [subset], [F.desc("n"), "code"], 5).groupBy(subset).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "code", "n"))),
                                  lambda x: F.concat(x["code"], F.lit(": "), x["n"])), "\n").alias("top_codes"))
-    return main.join(spread, subset).join(ends, subset).join(top, subset)
+    return main.join(spread, subset, "left").join(ends, subset, "left").join(top, subset, "left")
 
 
 def clinics_as_columns(table: DataFrame, subset: str, metrics: list[str], clinics: list[str]) -> DataFrame:

@@ -53,23 +53,8 @@ def pivot_cells(df: DataFrame, keys: list[str], column: str, values: list, cell)
     return df.groupBy(*keys).pivot(column, values).agg(cell)
 
 
-def pivot_texts(joined: DataFrame, keys: list[str], column: str, values: list, text: str, missing: str) -> DataFrame:
-    """Joined texts side by side, a row for each segment. Every text has a first segment, so a value without one there was
-    never given and reads ``missing``; where only another value's text goes on, the cell is null."""
-    wide = pivot_cells(joined, [*keys, "segment"], column, values, F.max(text))
-    return wide.select(*keys, "segment", *[F.coalesce(v, F.when(F.col("segment") == 0, missing)).alias(v) for v in values])
-
-
-def repeated_cells(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Cells that a strict pivot must refuse."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
-
-
-def column_totals(df: DataFrame, keys: list[str], sums: list[Column], label: str = "Total") -> DataFrame:
-    """Groups with the grand total as one more row, by rollup."""
-    out = df.rollup(*keys).agg(F.grouping_id().alias("_g"), *sums)
-    full = (1 << len(keys)) - 1
-    out = out.filter((F.col("_g") == 0) | (F.col("_g") == full))
-    return out.withColumns(
-        {k: F.when(F.col("_g") == full, label).otherwise(F.col(k).cast("string")) for k in keys}
-    ).drop("_g")
+def pivot_texts(texts: DataFrame, keys: list[str], column: str, values: list, text: str, missing: str) -> DataFrame:
+    """Ordered texts side by side, a row for each place. A value without a first text was never given and reads ``missing`` there;
+    further down, where only another value goes on, the cell is null. A null text is an empty one."""
+    wide = pivot_cells(texts, [*keys, "place"], column, values, F.max(F.coalesce(F.col(text), F.lit(""))))
+    return wide.select(*keys, "place", *[F.coalesce(v, F.when(F.col("place") == 1, missing)).alias(v) for v in values])

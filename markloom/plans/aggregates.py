@@ -105,27 +105,28 @@ def a11(t: Tables):
 
 @query("A12_ordered_join", """
 , r AS (SELECT student_id, trim(CASE WHEN ps = 1 THEN ' ' ELSE clinic || ' ' || form_id END) AS x, row_number() OVER (PARTITION BY student_id ORDER BY form_id) AS rn FROM frm)
-SELECT student_id, (rn - 1) // 10000 AS segment, trim(string_agg(x, ', ' ORDER BY rn), ', ') AS notes FROM r GROUP BY ALL
+, e AS (SELECT student_id, min(rn) FILTER (x <> '') AS low, max(rn) FILTER (x <> '') AS high FROM r GROUP BY student_id)
+SELECT student_id, rn AS place, x AS note FROM r JOIN e USING (student_id) WHERE rn BETWEEN low AND high
 """)
 def a12(t: Tables):
     text = F.trim(F.when(c("ps") == 1, " ").otherwise(F.concat_ws(" ", "clinic", "form_id")))
     notes = t.forms.select("student_id", "form_id", text.alias("x"))
-    return ORD.joined_text(notes, ["student_id"], ["form_id"], F.floor(c("form_id") / 10_000), "x", ", ", "notes", strip=", ")
+    return ORD.ordered_texts(notes, ["student_id"], ["form_id"], F.floor(c("form_id") / 10_000), "x", "note", ends=True)
 
 
-@query("A13_sorted_distinct_join", "SELECT student_id, CAST(0 AS BIGINT) AS segment, string_agg(DISTINCT clinic, ', ' ORDER BY clinic) AS clinics FROM frm GROUP BY student_id")
+@query("A13_sorted_distinct_join", "SELECT student_id, string_agg(DISTINCT clinic, ', ' ORDER BY clinic) AS clinics FROM frm GROUP BY student_id")
 def a13(t: Tables):
-    return ORD.joined_distinct(t.forms, ["student_id"], "clinic", ", ", "clinics")
+    return ORD.joined_set(t.forms, ["student_id"], "clinic", ", ", "clinics")
 
 
 @query("A14_list_concatenation", """
-, r AS (SELECT student_id, clinic, 'IT' || (form_id % 12) || ',LA' AS x, row_number() OVER (PARTITION BY student_id, clinic ORDER BY form_id) AS rn FROM frm)
-SELECT student_id, clinic, (rn - 1) // 10000 AS segment, string_agg(x, ',' ORDER BY rn) AS items FROM r GROUP BY ALL
+, r AS (SELECT student_id, clinic, form_id, unnest(['IT' || (form_id % 12), 'LA']) AS item, unnest([0, 1]) AS pos FROM frm)
+SELECT student_id, clinic, row_number() OVER (PARTITION BY student_id, clinic ORDER BY form_id, pos) AS place, item FROM r
 """)
 def a14(t: Tables):
     lists = t.forms.select("student_id", "clinic", "form_id", F.array(F.concat(lit("IT"), s(c("form_id") % 12)), lit("LA")).alias("l"))
-    rows = lists.withColumn("x", F.array_join("l", ","))
-    return ORD.joined_text(rows, ["student_id", "clinic"], ["form_id"], F.floor(c("form_id") / 10_000), "x", ",", "items")
+    rows = lists.select("student_id", "clinic", "form_id", F.posexplode("l").alias("pos", "x"))
+    return ORD.ordered_texts(rows, ["student_id", "clinic"], ["form_id", "pos"], F.floor(c("form_id") / 10_000), "x", "item")
 
 
 @query("A15_list_element_counts", """
@@ -257,16 +258,15 @@ def a27(t: Tables):
 
 @query("A28_pivot_joined_text", """
 , r AS (SELECT student_id, setting, role || ' ' || form_id AS x, row_number() OVER (PARTITION BY student_id, setting ORDER BY form_id) AS rn FROM frm),
-j AS (SELECT student_id, setting, (rn - 1) // 10000 AS segment, string_agg(x, '; ' ORDER BY rn) AS x FROM r GROUP BY ALL),
-w AS (SELECT student_id, segment, max(x) FILTER (setting = 'Clinic') AS c, max(x) FILTER (setting = 'Simulation') AS m FROM j GROUP BY ALL),
+w AS (SELECT student_id, rn AS place, max(x) FILTER (setting = 'Clinic') AS c, max(x) FILTER (setting = 'Simulation') AS m FROM r GROUP BY ALL),
 k AS (SELECT student_id, count(*) FILTER (setting = 'Clinic') AS nc, count(*) FILTER (setting = 'Simulation') AS nm FROM frm GROUP BY student_id)
-SELECT student_id, segment, CASE WHEN nc = 0 AND segment = 0 THEN 'Not completed' ELSE c END AS Clinic,
-  CASE WHEN nm = 0 AND segment = 0 THEN 'Not completed' ELSE m END AS Simulation FROM w JOIN k USING (student_id)
+SELECT student_id, place, CASE WHEN nc = 0 AND place = 1 THEN 'Not completed' ELSE c END AS Clinic,
+  CASE WHEN nm = 0 AND place = 1 THEN 'Not completed' ELSE m END AS Simulation FROM w JOIN k USING (student_id)
 """)
 def a28(t: Tables):
     rows = t.forms.select("student_id", "setting", "form_id", F.concat_ws(" ", "role", "form_id").alias("x"))
-    joined = ORD.joined_text(rows, ["student_id", "setting"], ["form_id"], F.floor(c("form_id") / 10_000), "x", "; ", "x")
-    return R.pivot_texts(joined, ["student_id"], "setting", ["Clinic", "Simulation"], "x", "Not completed")
+    texts = ORD.ordered_texts(rows, ["student_id", "setting"], ["form_id"], F.floor(c("form_id") / 10_000), "x", "x")
+    return R.pivot_texts(texts, ["student_id"], "setting", ["Clinic", "Simulation"], "x", "Not completed")
 
 
 #: Line numbers of the given orders.
@@ -323,14 +323,16 @@ def a33(t: Tables):
 
 
 @query("A34_marker_pair_difference", """
-, m AS (SELECT form_id, marker, count(*) FILTER (outcome = 'Yes') AS checklist, CAST(sum(level) AS BIGINT) AS rubric FROM ans GROUP BY ALL)
-SELECT form_id, min(marker) AS marker_1, max(marker) AS marker_2, arg_min(checklist, marker) - arg_max(checklist, marker) AS checklist_diff, arg_min(rubric, marker) - arg_max(rubric, marker) AS rubric_diff
+, m AS (SELECT form_id, marker, count(*) FILTER (outcome = 'Yes') AS checklist, CAST(sum(level) AS BIGINT) AS rubric, checklist + rubric AS total FROM ans GROUP BY ALL)
+SELECT form_id, min(marker) AS marker_1, max(marker) AS marker_2, arg_min(checklist, marker) - arg_max(checklist, marker) AS checklist_diff, arg_min(rubric, marker) - arg_max(rubric, marker) AS rubric_diff,
+  min_by(total, marker) - max_by(total, marker) AS total_diff
 FROM m GROUP BY form_id HAVING count(*) = 2
 """)
 def a34(t: Tables):
     per = t.answers.groupBy("form_id", "marker").agg(F.count_if(c("outcome") == "Yes").alias("checklist"), F.sum("level").alias("rubric"))
-    two = M.two_markings(per, "form_id", "marker", ["marker", "checklist", "rubric"])
-    return two.select("form_id", "marker_1", "marker_2", "checklist_diff", "rubric_diff")
+    per = per.withColumn("total", c("checklist") + c("rubric"))
+    two = M.two_markings(per, "form_id", "marker", ["marker", "checklist", "rubric", "total"])
+    return two.select("form_id", "marker_1", "marker_2", "checklist_diff", "rubric_diff", "total_diff")
 
 
 @query("A35_answer_flips", """

@@ -12,7 +12,7 @@ from markloom.functions import text as X
 from markloom.operators import cleaning as CL
 from markloom.operators import marks as M
 from markloom.operators import reshape as R
-from markloom.operators.ordering import joined_distinct, row_numbers
+from markloom.operators.ordering import joined_set, row_numbers
 from markloom.plans.base import Tables, query
 
 c, lit = F.col, F.lit
@@ -96,8 +96,8 @@ def p03(t: Tables):
 
 
 @query("P04_header_collisions", HEADER_SQL + """
-SELECT name, count(DISTINCT header) AS n_headers, CAST(0 AS BIGINT) AS segment, string_agg(DISTINCT header, ' | ' ORDER BY header) AS headers
-FROM p GROUP BY name HAVING count(DISTINCT header) > 1
+, d AS (SELECT DISTINCT name, header FROM p), r AS (SELECT name, header, row_number() OVER (PARTITION BY name ORDER BY header) AS place, count(*) OVER (PARTITION BY name) AS n FROM d)
+SELECT name, CASE WHEN place = 1 THEN n END AS n_headers, place, header FROM r WHERE n > 1
 """)
 def p04(t: Tables):
     parsed = H.parse_headers(header_table(t), "header").select("header", "name")
@@ -520,10 +520,10 @@ def x40(t: Tables):
 
 
 @query("X41_items_present", """
-SELECT form_id, CAST(0 AS BIGINT) AS segment, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM ans WHERE outcome IS NOT NULL GROUP BY form_id
+SELECT form_id, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM ans WHERE outcome IS NOT NULL GROUP BY form_id
 """)
 def x41(t: Tables):
-    return joined_distinct(t.answers.filter(c("outcome").isNotNull()), ["form_id"], "item", ",", "items")
+    return joined_set(t.answers.filter(c("outcome").isNotNull()), ["form_id"], "item", ",", "items")
 
 
 @query("X42_items_of_services", """

@@ -198,9 +198,9 @@ def a50(t: Tables):
     return RP.ends_per_group(per.select("student_id", "qno", mean.alias("mean")), "student_id", "qno", "mean", 3)
 
 
-@query("A51_distinct_text_joined", "SELECT item, qno, CAST(0 AS BIGINT) AS segment, string_agg(DISTINCT raw, ' | ' ORDER BY raw) AS answers FROM ans WHERE raw <> '' GROUP BY ALL")
+@query("A51_distinct_text_joined", ", d AS (SELECT DISTINCT item, qno, raw FROM ans WHERE raw <> '') SELECT item, qno, row_number() OVER (PARTITION BY item, qno ORDER BY raw) AS place, raw AS answer FROM d")
 def a51(t: Tables):
-    return ORD.joined_distinct(t.answers.filter("raw <> ''"), ["item", "qno"], "raw", " | ", "answers")
+    return ORD.ordered_distinct(t.answers.filter("raw <> ''"), ["item", "qno"], "raw", "answer")
 
 
 @query("A52_student_totals", """
@@ -271,13 +271,12 @@ def a59(t: Tables):
 
 
 @query("A60_rubric_and_items_per_date", """
-, i AS (SELECT day, CAST(0 AS BIGINT) AS segment, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM ans GROUP BY day)
-SELECT strftime(day, '%Y-%m-%d') AS day, CAST(sum(level) AS DOUBLE) / count(*) AS mean_level, segment, items FROM ans JOIN i USING (day) GROUP BY ALL
+, i AS (SELECT day, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM ans GROUP BY day)
+SELECT strftime(day, '%Y-%m-%d') AS day, CAST(sum(level) AS DOUBLE) / count(*) AS mean_level, items FROM ans JOIN i USING (day) GROUP BY ALL
 """)
 def a60(t: Tables):
-    means = t.answers.groupBy("day").agg(F.avg("level").alias("mean_level"))
-    items = ORD.joined_distinct(t.answers, ["day"], "item", ",", "items")
-    return ORD.beside_text(means, items, ["day"]).withColumn("day", s(c("day")))
+    items = F.array_join(F.array_sort(F.collect_set("item")), ",").alias("items")
+    return t.answers.groupBy("day").agg(F.avg("level").alias("mean_level"), items).withColumn("day", s(c("day")))
 
 
 @query("A61_own_mark_beside_mean", """
@@ -317,14 +316,13 @@ def a63(t: Tables):
 
 @query("A64_best_of_table", """
 , r AS (SELECT student_id, form_id, checklist_score, clinic, cents, row_number() OVER (PARTITION BY student_id ORDER BY form_id) AS rn FROM fs),
-g AS (SELECT student_id, CAST(sum(cents) AS BIGINT) AS total_cents, round(avg(checklist_score), 6) AS mean_score, arg_min(clinic, form_id) AS first_clinic FROM r GROUP BY student_id),
-j AS (SELECT student_id, (rn - 1) // 10000 AS segment, string_agg(CAST(form_id AS VARCHAR), ';' ORDER BY rn) AS forms FROM r GROUP BY ALL)
-SELECT j.student_id, total_cents, mean_score, first_clinic, segment, forms FROM j LEFT JOIN g ON j.student_id = g.student_id AND segment = 0
+g AS (SELECT student_id, CAST(sum(cents) AS BIGINT) AS total_cents, round(avg(checklist_score), 6) AS mean_score, arg_min(clinic, form_id) AS first_clinic FROM r GROUP BY student_id)
+SELECT r.student_id, total_cents, mean_score, g.first_clinic, rn AS place, CAST(form_id AS VARCHAR) AS form FROM r LEFT JOIN g ON r.student_id = g.student_id AND rn = 1
 """)
 def a64(t: Tables):
     g = t.form_scores.groupBy("student_id").agg(F.sum("cents").alias("total_cents"), r6(F.avg("checklist_score")).alias("mean_score"), F.min_by("clinic", "form_id").alias("first_clinic"))
     forms = t.form_scores.select("student_id", "form_id", s(c("form_id")).alias("x"))
-    return ORD.beside_text(g, ORD.joined_text(forms, ["student_id"], ["form_id"], F.floor(c("form_id") / 10_000), "x", ";", "forms"), ["student_id"])
+    return ORD.beside_text(g, ORD.ordered_texts(forms, ["student_id"], ["form_id"], F.floor(c("form_id") / 10_000), "x", "form"), ["student_id"])
 
 
 @query("A65_codes_per_student", """

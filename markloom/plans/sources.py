@@ -177,10 +177,10 @@ def k06(t: Tables):
 
 
 @query("K07_cluster_listing", """
-, r AS (SELECT label AS cluster, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings)
-SELECT cluster, (rn - 1) // 10000 AS segment, string_agg('- ' || vec_id, chr(10) ORDER BY rn) AS listing FROM r GROUP BY ALL
+SELECT label AS cluster, '- ' || vec_id AS line FROM embeddings
 """)
 def k07(t: Tables):
     rows = t["embeddings"].select(c("label").alias("cluster"), "vec_id", F.concat(lit("- "), s(c("vec_id"))).alias("x"))
-    listing = ORD.joined_text(rows, ["cluster"], ["vec_id"], F.floor(c("vec_id") / 10_000), "x", "\n", "listing")
-    return t.spark.read.parquet(land(t, listing, "listing", "parquet"))
+    path = landing_path(t.spark, "listing")
+    WR.write_texts(ORD.ordered_texts(rows, ["cluster"], ["vec_id"], F.floor(c("vec_id") / 10_000), "x"), path, ["cluster"], "place", "text")
+    return t.spark.read.schema("line string, cluster int").text(path)

@@ -16,6 +16,13 @@ def write_per_key(df: DataFrame, path: str, keys: list[str], fmt: str = "parquet
     df.hint("rebalance", *keys).write.mode("overwrite").partitionBy(*keys).option("maxRecordsPerFile", rows_per_file).format(fmt).save(path)
 
 
+def write_texts(df: DataFrame, path: str, keys: list[str], place: str, text: str, sep: str = "\n") -> None:
+    """One directory per key with the key's texts in order, ``sep`` after each. Rows are dealt by ranges of (key, place), so a
+    large key is several files, whose names are in order, and no task holds more than the row it writes. Null texts are empty."""
+    rows = df.select(*keys, place, F.coalesce(text, F.lit("")).alias(text)).repartitionByRange(*keys, place).sortWithinPartitions(*keys, place)
+    rows.drop(place).write.mode("overwrite").partitionBy(*keys).option("lineSep", sep).text(path)
+
+
 def replace_keys(df: DataFrame, path: str, keys: list[str], fmt: str = "parquet") -> None:
     """Replace only the keys that occur in ``df``; other directories stay."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

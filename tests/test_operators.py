@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from markloom.functions import jsonmap as J
 from markloom.operators import joins as JN
 from markloom.operators import models as MD
 from markloom.operators import ordering as ORD
@@ -62,29 +63,52 @@ def test_running_sum_and_fill(hot):
             assert fills[g, o] == (back[-1] if back else ahead[0] if ahead else None)
 
 
-def test_joined_text_in_segments(hot):
+def test_ordered_texts(hot):
     rows, df = hot
     text = df.withColumn("t", F.col("o").cast("string"))
-    got = ORD.joined_text(text, ["g"], ["o"], F.floor(F.col("o") / 10), "t", ";", segment_rows=40).collect()
+    got = ORD.ordered_texts(text, ["g"], ["o"], F.floor(F.col("o") / 10), "t").collect()
+    assert len(got) == len(rows)
     for g, items in by_group(rows).items():
-        parts = [r["text"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["segment"])]
-        assert ";".join(parts) == ";".join(str(o) for o, _ in items)
-        assert max(p.count(";") for p in parts) < 40
+        mine = sorted((r for r in got if r["g"] == g), key=lambda r: r["place"])
+        assert [(r["place"], r["text"]) for r in mine] == [(i + 1, str(o)) for i, (o, _) in enumerate(items)]
+
+
+def test_ordered_texts_without_blank_ends(spark):
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(["", " ", "a", None, "b", ""])] + [(2, 1, ""), (2, 2, None)], "g int, o int, t string")
+    got = sorted((r.g, r.place, r.text) for r in ORD.ordered_texts(df, ["g"], ["o"], F.floor(F.col("o") / 2), "t", ends=True).collect())
+    assert got == [(1, 3, "a"), (1, 4, None), (1, 5, "b")]
+    assert [(r.g, r.x) for r in ORD.joined_set(df.filter("t <> ''"), ["g"], "t", "|", "x").collect()] == [(1, " |a|b")]
 
 
 def test_totals_and_gaps_beside_long_texts(spark):
     """A group of 25,000: its totals stand once, and only a setting never given reads as missing."""
     df = spark.range(25_000).select(F.lit(1).alias("g"), F.lit("a").alias("s"), F.col("id").alias("o"), F.col("id").cast("string").alias("t"))
     df = df.union(spark.createDataFrame([(1, "b", i, str(i)) for i in range(5)] + [(2, "b", 1, "x"), (3, "a", 1, None)], "g int, s string, o bigint, t string"))
-    texts = ORD.joined_text(df, ["g", "s"], ["o"], F.floor(F.col("o") / 1000), "t", ";", "t")
-    wide = {(r.g, r.segment): (r.a, r.b) for r in R.pivot_texts(texts, ["g"], "s", ["a", "b"], "t", "none").collect()}
-    assert set(wide) == {(1, 0), (1, 1), (1, 2), (2, 0), (3, 0)}
-    assert ";".join(wide[1, k][0] for k in range(3)) == ";".join(map(str, range(25_000)))
-    assert [wide[1, k][1] for k in range(3)] == ["0;1;2;3;4", None, None]
-    assert wide[2, 0] == ("none", "x") and wide[3, 0] == ("", "none")
+    texts = ORD.ordered_texts(df, ["g", "s"], ["o"], F.floor(F.col("o") / 1000), "t", "t")
+    wide = {(r.g, r.place): (r.a, r.b) for r in R.pivot_texts(texts, ["g"], "s", ["a", "b"], "t", "none").collect()}
+    assert len(wide) == 25_002
+    assert [wide[1, k + 1] for k in range(25_000)] == [(str(k), str(k) if k < 5 else None) for k in range(25_000)]
+    assert wide[2, 1] == ("none", "x") and wide[3, 1] == ("", "none")
     totals = df.groupBy("g", "s").agg(F.count("*").alias("n"))
     got = ORD.beside_text(totals, texts, ["g", "s"]).collect()
-    assert sum(r.n or 0 for r in got) == 25_007 and len(got) == 6 and all((r.n is None) == (r.segment > 0) for r in got)
+    assert sum(r.n or 0 for r in got) == 25_007 == len(got) and all((r.n is None) == (r.place > 1) for r in got)
+
+
+def test_texts_written_in_order(spark, tmp_path):
+    """A large key is cut over tasks; its files, read by name, are its text in order."""
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 < 2, "hot key").otherwise(F.concat(F.lit("k"), F.col("id") % 5)).alias("k"), F.col("id").alias("o"))
+    texts = ORD.ordered_texts(df.withColumn("t", F.concat(F.lit("- "), F.col("o"))), ["k"], ["o"], F.floor(F.col("o") / 1000), "t")
+    WR.write_texts(texts, str(tmp_path / "out"), ["k"], "place", "text", sep="; ")
+    for key in ["hot key", *[f"k{i}" for i in range(5)]]:
+        parts = sorted(p for d in (tmp_path / "out").iterdir() if d.name in (f"k={key}", "k=" + key.replace(" ", "%20")) for p in d.glob("part-*"))
+        want = [o for o in range(30_000) if ("hot key" if o % 3 < 2 else f"k{o % 5}") == key]
+        assert "".join(p.read_text() for p in parts) == "".join(f"- {o}; " for o in want)
+
+
+def test_literal_words_inside_quotes_stay(spark):
+    df = spark.createDataFrame([("{'k': None, 'b': 'x, None, y', \"c\": True}",), ("{'a': [None, False], 'b': \"it's, None, so\"}",), (None,)], "t string")
+    got = [r.m for r in df.select(J.parse_map(F.col("t")).alias("m")).collect()]
+    assert got[0] == {"k": None, "b": "x, None, y", "c": "true"} and got[1]["b"] == "it's, None, so" and got[2] == {}
 
 
 def test_pairs_once_for_any_block(spark):
